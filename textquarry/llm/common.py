@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -48,9 +49,9 @@ def count_words(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(pieces - head - tail).cast("long")
 
 
-def buckets_for(rows: int, per_bucket: int = 50_000) -> int:
-    """Enough buckets that each holds about per_bucket rows."""
-    return max(1, -(-rows // per_bucket))
+def buckets_for(rows: int, share: int = 1) -> int:
+    """Buckets for `running`: they and the rows in each grow with the square root of all rows."""
+    return max(1, math.isqrt(rows) // (4 * share))
 
 
 def running(df: DataFrame, within: list[str], bucket: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:

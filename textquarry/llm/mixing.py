@@ -93,9 +93,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     parts = parts.select("doc_id", "sid", "start", low.alias("low"), high.alias("high"), "block")
     words = F.col("times") * (F.col("high") - F.col("low")) + F.greatest(F.lit(0), F.least("high", "head") - F.col("low"))
-    taken = parts.join(drawn, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(words).alias("__taken"))
+    taken = parts.join(drawn.hint("shuffle_merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(words).alias("__taken"))
     columns = ["doc_id", "source", "size", "source_size", "target", "start"]
-    some = filled.join(taken, ["sid", "start"], "left").select(*columns, F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"))
+    some = filled.join(taken.hint("shuffle_merge"), ["sid", "start"], "left").select(*columns, F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"))
     none = placed.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import mixing, quality, sharding
+from textquarry.llm import decontam, lines, mixing, pii, quality, secrets, sharding
 from textquarry.llm.common import table
 
 
@@ -23,3 +23,33 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality.judge(docs, rules, ["doc_id"]).select("doc_id", *[F.col(f"__{c}").alias(c) for c in columns], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_samples(spark))
+    spans = F.col("spans")
+    found = secrets.scan(table(spark, sf_dir, "documents"), model)
+    base = F.filter(spans, lambda s: s["kind_no"] < 3)
+
+    def found_of(no: int, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind_no"] == no)).cast("long").alias(f"n_{kind}")
+
+    counts = [found_of(no, kind) for no, kind in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *counts[:3], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"), counts[3])
+
+
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return pii.pseudonymise(docs, "query-key", ["doc_id"])
+
+
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    got = decontam.find(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = decontam.hit_words()
+    return got.select("doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), decontam.items_digest().alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -4,10 +4,11 @@ Documents of equal text are linked. All copies of a text that start in the
 same shard form a cell; each round joins the cells of a group, finds the shard
 that holds most of the group and moves the others there, as far as the shard's
 quota goes. A group larger than half a shard is first cut into pieces of at most
-that. In the end all documents stand in one order, by shard with the linked
-ones in its middle and the unlinked ones around them, and the order is cut into
+that. Unlinked documents then fill what the linked ones leave of each shard. In
+the end all documents stand in one order, by shard with the linked ones in its
+middle and the smallest unlinked ones at its ends, and the order is cut into
 runs of equal bytes: sizes are as even as single documents allow, and cuts fall
-among unlinked documents wherever there are enough of them.
+among small unlinked documents wherever there are enough of them.
 
 Defined cases: null texts form a group of size 8 each, as empty ones form theirs;
 repeated rows are separate documents with slots of their own; an empty table
@@ -63,15 +64,27 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), has.alias("has_text"))
     sized = staged(sized.withColumns({"first": F.pmod(F.xxhash64("doc_id", F.lit("first")), F.lit(shards)).cast("int"), "salt": F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)).cast("int")}), "shard-sizes")
     n_docs, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    placed = propagate(cells(sized), total, shards, rounds)
+    placed = staged(propagate(cells(sized), total, shards, rounds), "placed")
     keys = ["text_hash", "text_crc32", "has_text", "first", "salt"]
-    placed = placed.select(*keys, "piece", "group_docs", "label", "docs")
-    subs = buckets_for(n_docs, 50_000 * shards * 3)
-    half = F.when(F.pmod(F.xxhash64("doc_id", F.lit("side")), F.lit(2)) == 0, 0).otherwise(2)
-    by_doc = sized.join(placed, keys)
-    by_doc = by_doc.select("doc_id", "size", "text_crc32", "text_hash", F.col("label"), F.when(F.col("group_docs") > 1, 1).otherwise(half).alias("kind"), F.pmod(F.xxhash64("text_hash", "piece"), F.lit(subs)).alias("sub"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.ceil(F.col("docs") / 2000)).alias("part"))
-    order = [F.col("text_hash"), F.col("text_crc32"), F.col("doc_id")]
-    lined = running(by_doc, [], ["label", "kind", "sub", "part"], order, {"__bytes": F.col("size"), "__row": F.lit(1)})
+    by_doc = sized.join(placed.select(*keys, "piece", "group_docs", "label", "docs"), keys)
+    # the unlinked documents fill what the linked ones leave of each shard; one number per shard comes to the driver
+    held = {r["label"]: r["b"] for r in placed.filter("group_docs > 1").groupBy("label").agg(F.sum("bytes").alias("b")).collect()}
+    gaps = [max(0.0, total / shards - held.get(s, 0)) for s in range(shards)]
+    scale = max(0, total - sum(held.values())) / max(1.0, sum(gaps))
+    ends = [sum(gaps[: s + 1]) * scale for s in range(shards - 1)]
+    linked = by_doc.filter("group_docs > 1").withColumns({"kind": F.lit(1), "level": F.lit(0), "part": F.pmod(F.xxhash64("doc_id", F.lit("part")), F.ceil(F.col("docs") / 500))})
+    alone = by_doc.filter("group_docs = 1").withColumns({"kind": F.when(F.pmod(F.xxhash64("doc_id", F.lit("side")), F.lit(2)) == 0, 0).otherwise(2), "part": F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(buckets_for(n_docs)))})
+    alone = running(alone, [], ["part"], [F.col("doc_id"), F.col("text_hash")], {"__before": F.col("size")})
+    alone = alone.withColumn("label", F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= F.col("__before") + F.col("size") / 2)))
+    # small documents stand next to the cuts, so that cuts are fine
+    level = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
+    alone = alone.withColumn("level", F.when(F.col("kind") == 0, level).otherwise(-level)).drop("__before")
+    subs = buckets_for(n_docs, shards)
+    columns = ["doc_id", "size", "text_crc32", "text_hash", "label", "kind", "level", "part", F.pmod(F.xxhash64("text_hash", "piece"), F.lit(subs)).alias("sub")]
+    by_doc = linked.select(*columns).unionByName(alone.select(*columns))
+    signed = F.when(F.col("kind") == 0, F.col("size")).when(F.col("kind") == 2, -F.col("size"))
+    order = [signed, F.col("text_hash"), F.col("text_crc32"), F.col("doc_id")]
+    lined = running(by_doc, [], ["label", "kind", "level", "sub", "part"], order, {"__bytes": F.col("size"), "__row": F.lit(1)})
     shard = F.least(F.floor((F.col("__bytes") + F.col("size") / 2) * shards / F.lit(max(1, total))), F.lit(shards - 1)).cast("int")
     lined = staged(lined.select("doc_id", "size", "text_crc32", shard.alias("shard"), "__row"), "lined")
     starts = lined.groupBy("shard").agg(F.min("__row").alias("__start"))
