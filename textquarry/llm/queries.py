@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontam, lines, mixing, pii, quality, secrets, sharding
+from textquarry.llm import decontam, lines, mixing, neardup, pii, quality, secrets, sharding
 from textquarry.llm.common import table
 
 
@@ -53,3 +53,8 @@ def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.find(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
     n_hit = decontam.hit_words()
     return got.select("doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), decontam.items_digest().alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
