@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import decontam, lines, mixing, neardup, pii, quality, secrets, sharding
+from textquarry.llm import decontam, language, lines, mixing, neardup, pii, quality, secrets, sharding, token_files
 from textquarry.llm.common import table
 
 
@@ -58,3 +58,16 @@ def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    model = language.fit(docs.filter(~language.held_out()))
+    got = language.predict(docs, model, ["doc_id"])
+    return got.select("doc_id", language.held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
