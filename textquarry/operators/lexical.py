@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textquarry.functions import query_syntax
-from textquarry.functions.analyze import ANALYZERS, porter_tokens, query_terms, simple_terms
+from textquarry.functions.analyze import ANALYZERS, porter_tokens, query_terms
 
 #: The usual constants of BM25 and the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -53,12 +53,18 @@ def term_bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def build(docs: DataFrame, key: str = "doc_key", fields: tuple[str, ...] = ("title", "content"), analyzer: str = "simple") -> LexicalIndex:
-    """Indexes the text columns `fields` of docs."""
+def build(docs: DataFrame, key: str = "doc_key", fields: tuple[str, ...] = ("title", "content"), analyzer: str = "simple", only_terms: list[str] | None = None) -> LexicalIndex:
+    """Indexes the text columns `fields` of docs; with only_terms, postings of those terms alone.
+
+    For queries over texts that no index stands for, only_terms drops all other
+    tokens before anything is shuffled. Lengths and counts stay those of whole texts.
+    """
     analyze = ANALYZERS[analyzer]
     per_field = F.array(*[F.struct(F.lit(i).alias("field"), analyze(F.coalesce(F.col(f), F.lit(""))).alias("terms")) for i, f in enumerate(fields)])
     analyzed = docs.select(F.col(key).alias("doc_key"), F.explode(per_field).alias("f")).select("doc_key", "f.field", "f.terms")
     tokens = analyzed.select("doc_key", "field", F.posexplode("terms").alias("pos", "term"))
+    if only_terms is not None:
+        tokens = tokens.filter(F.col("term").isin(only_terms))
     postings = tokens.groupBy("term", "doc_key", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     postings = postings.withColumn("term_bucket", term_bucket(F.col("term")))
     lengths = analyzed.groupBy("doc_key").agg(F.sum(F.size("terms")).cast("long").alias("length"))
@@ -78,6 +84,11 @@ def clause_rows(query_id: int, query: str, analyzer: str) -> list[tuple]:
     return rows if any(not r[-1] for r in rows) else []
 
 
+def terms_of(queries: list[tuple[int, str]], analyzer: str) -> list[str]:
+    """All terms that the queries ask for."""
+    return sorted({r[4] for i, q in queries for r in clause_rows(i, q, analyzer)})
+
+
 def parsed(spark: SparkSession, queries: list[tuple[int, str]], analyzer: str) -> DataFrame:
     rows = [r for i, q in queries for r in clause_rows(i, q, analyzer)]
     frame = spark.createDataFrame(rows, CLAUSES)
@@ -180,6 +191,3 @@ def with_snippets(hits: DataFrame, queries: list[tuple[int, str]], analyzer: str
         return texts.combine(ids, lambda t, q: snippet(t, phrases.get(q, []), analyzer))
 
     return hits.withColumn("snippet", run(F.col("query_id"), F.col(column)))
-
-
-__all__ = ["LexicalIndex", "build", "clause_rows", "parsed", "scores", "search", "simple_terms", "snippet", "top_rows", "with_snippets"]

@@ -189,7 +189,7 @@ class Engine:
         if not any(lexical.clause_rows(i, q, "porter") for i, q in queries):
             raise catalog.CatalogError("empty search query")
         index = lexical.LexicalIndex.read(self.spark, f"{self.root}/{self._state['tables']['postings']}", "porter")
-        terms = sorted({r[4] for i, q in queries for r in lexical.clause_rows(i, q, "porter")})
+        terms = lexical.terms_of(queries, "porter")
         if len(terms) <= 1000:  # the folders of these terms alone are read
             places = self.spark.createDataFrame([(t,) for t in terms], "term string").select(lexical.term_bucket(F.col("term")).alias("b")).distinct().collect()
             index = lexical.LexicalIndex(index.postings.filter(F.col("term_bucket").isin([r["b"] for r in places]) & F.col("term").isin(terms)), index.lengths, index.corpus, "porter")

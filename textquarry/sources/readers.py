@@ -20,7 +20,7 @@ def read_folder(spark: SparkSession, collection: str, root: str, glob: str = glo
     base = root.removeprefix("file://").rstrip("/") + "/"
     relative = F.expr(f"substring(full_path, {len(base) + 1})")
     rows = files.select(full.alias("full_path"), "modificationTime", "content").withColumn("rel", relative)
-    return rows.filter(globs.matches(F.col("rel"), glob)).select(F.lit(collection).alias("collection"), F.col("rel").alias("path"), F.col("full_path").alias("absolute_path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("modificationTime").alias("updated_at"))
+    return rows.filter(globs.matches(F.col("rel"), glob)).select(F.lit(collection).alias("collection"), F.col("rel").alias("path"), F.col("full_path").alias("absolute_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("modificationTime").alias("updated_at"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ def file_stream(spark: SparkSession, collection: str, root: str, glob: str = glo
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(root)
     base = root.removeprefix("file://").rstrip("/") + "/"
     full = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    rows = files.select(F.lit(collection).alias("collection"), F.substring(full, len(base) + 1, 1 << 20).alias("path"), full.alias("absolute_path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("modificationTime").alias("updated_at"))
+    rows = files.select(F.lit(collection).alias("collection"), F.substring(full, len(base) + 1, 1 << 20).alias("path"), full.alias("absolute_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("modificationTime").alias("updated_at"))
     return rows.filter(globs.matches(F.col("path"), glob))
 
 
