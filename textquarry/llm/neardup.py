@@ -8,11 +8,14 @@ with chance 1e-5, at 0.85 with 4e-7 or so.
 
 Small nodes are compared exhaustively. In a larger node all members are first
 compared with one pivot. Members of one component need no further comparison
-among themselves, so a node of near copies is finished then; if only few
-members stand outside its largest component, they are compared with all; else
-the node branches again, by BRANCHES more selected tokens, and so on. Nodes that
-are still mixed after LEVELS levels are compared in full by a join. Pairs pass a
-sketch filter six standard errors wide, and are confirmed on their full sets.
+among themselves, so a node of near copies is finished then. A node that still
+holds several components is compared exhaustively on full sets, if its sets
+have at most FULL shingles together. If it is larger and only few members stand
+outside its largest component, they are compared with all; else the node
+branches again, along BRANCHES paths of STEPS more selected tokens each, and so
+on. Nodes that are still mixed after LEVELS levels are compared in full by a
+join. Single pairs pass a sketch filter six standard errors wide, and are
+confirmed on their full sets.
 
 Defined cases: A-Z count as a-z; a text of fewer words than a shingle is one
 shingle; a null or blank text has none and links with nothing; repeated rows
@@ -38,8 +41,10 @@ TREES = 20
 COORDS = DEPTH * TREES
 SMALL = 32
 PIVOTS = 16
+FULL = 1 << 20
 BRANCHES = 4
-LEVELS = 8
+STEPS = 3
+LEVELS = 5
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD_A, _FOLD_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -119,8 +124,8 @@ def _pairs_within(nodes: DataFrame) -> DataFrame:
 
 
 def _pairs_with_pivot(nodes: DataFrame) -> DataFrame:
-    pivots = nodes.groupBy("node").agg(F.min("rep").alias("pivot"))
-    return nodes.join(pivots, "node").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    pivots = nodes.groupBy("node").agg(F.min_by("rep", F.struct(F.xxhash64("node", "rep"), "rep")).alias("pivot"))
+    return nodes.join(pivots, "node").filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
@@ -196,28 +201,70 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(mixed, "node", "left_semi")
 
 
-def _deeper(nodes: DataFrame, reps: DataFrame, labels: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs to compare in nodes that one pivot has not finished, and the nodes to go on with."""
+def _compared(nodes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components of each node (node, rep, label), found on full sets.
+
+    One member after another is compared with all others, those of small
+    components first. When those that are left are of one component, every two
+    members of different components have met.
+    """
+    # trees often lead the same members together: one node of each such set is enough
+    same = nodes.groupBy("node").agg(F.sum(F.xxhash64("rep") % (1 << 40)).alias("h"), F.count("*").alias("n")).groupBy("h", "n").agg(F.min("node").alias("node"))
+    nodes = staged(nodes.join(same.select("node"), "node", "left_semi"), "compared")
+    sets = staged(_sets(docs, nodes.select("rep").distinct(), size), "sets")
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, labels = table.column("rep").to_numpy(), table.column("label").to_numpy().copy()
+        members = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        sizes = np.array([len(m) for m in members])
+        values, owners = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], owners[order]
+        todo, links = np.ones(len(reps), bool), []
+        while len((left := np.unique(labels[todo], return_counts=True))[0]) > 1:
+            pick = np.flatnonzero(todo & (labels == left[0][left[1].argmin()]))[0]
+            todo[pick] = False
+            low, high = np.searchsorted(values, members[pick], "left"), np.searchsorted(values, members[pick], "right")
+            lengths = high - low
+            at = np.arange(lengths.sum()) + np.repeat(low - np.cumsum(lengths) + lengths, lengths)
+            both = np.bincount(owners[at], minlength=len(reps))
+            linked = np.flatnonzero((den * both >= num * (sizes + sizes[pick] - both)) & (labels != labels[pick]))
+            for other in linked:
+                if labels[other] != labels[pick]:
+                    links.append((min(reps[pick], reps[other]), max(reps[pick], reps[other])))
+                    labels[labels == labels[other]] = labels[pick]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return nodes.join(sets, "rep").groupBy("node").applyInArrow(run, "a long, b long")
+
+
+def _deeper(nodes: DataFrame, reps: DataFrame, labels: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Pairs to test, nodes to go on with and nodes to compare in full, of nodes that one pivot has not finished."""
     mixed = staged(_labelled(nodes, labels), "mixed")
     if mixed.isEmpty():
-        return mixed.select(F.col("rep").alias("a"), F.col("rep").alias("b")), None
-    by_label = mixed.groupBy("node", "label").agg(F.count("*").alias("n"))
+        return mixed.select(F.col("rep").alias("a"), F.col("rep").alias("b")), None, mixed
+    weight = mixed.join(reps.select("rep", "n_shingles"), "rep").groupBy("node").agg(F.sum("n_shingles").alias("weight"))
+    light = weight.filter(F.col("weight") <= FULL).select("node")
+    full = mixed.join(light, "node", "left_semi")
+    heavy = staged(mixed.join(light, "node", "left_anti"), "heavy")
+    if heavy.isEmpty():
+        return heavy.select(F.col("rep").alias("a"), F.col("rep").alias("b")), None, full
+    by_label = heavy.groupBy("node", "label").agg(F.count("*").alias("n"))
     top = by_label.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("members"))
     rest = F.col("members") - F.col("most")
     if level >= LEVELS:
         finish, top = top, top.limit(0)
     else:
         finish, top = top.filter(rest <= PIVOTS), top.filter(rest > PIVOTS)
-    outside = mixed.join(finish.select("node", "top"), "node").filter("label <> top").select("node", F.col("rep").alias("x"), F.col("label").alias("x_label"))
-    pairs = mixed.join(outside, "node").filter("label <> x_label").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-    go = mixed.join(top.select("node"), "node", "left_semi")
-    chosen = F.array_distinct(F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int") for j in range(BRANCHES)]))
-    coords = reps.select("rep", "coords")
-    child = go.join(coords, "rep").select("rep", "label", "node", "coords", F.explode(chosen).alias("i")).select("rep", "label", F.xxhash64("node", "i", F.element_at("coords", F.col("i") + 1)).alias("node")).distinct()
-    child = staged(_sized(child), "children")
+    outside = heavy.join(finish.select("node", "top"), "node").filter("label <> top").select("node", F.col("rep").alias("x"), F.col("label").alias("x_label"))
+    pairs = heavy.join(outside, "node").filter("label <> x_label").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+    go = heavy.join(top.select("node"), "node", "left_semi")
+    tokens = [F.element_at("coords", F.pmod(F.xxhash64("node", "path", F.lit(k)), F.lit(COORDS)).cast("int") + 1) for k in range(STEPS)]
+    child = go.join(reps.select("rep", "coords"), "rep").withColumn("path", F.explode(F.array(*[F.lit(p) for p in range(BRANCHES)]))).select("rep", "label", F.xxhash64("node", "path", *tokens).alias("node"))
+    child = staged(_sized(child.distinct()), "children")
     pairs = pairs.unionByName(_pairs_within(child.filter(F.col("members") <= SMALL)))
     large = child.filter(F.col("members") > SMALL).select("node", "rep")
-    return pairs.unionByName(_pairs_with_pivot(large)), large
+    return pairs.unionByName(_pairs_with_pivot(large)), large, full
 
 
 def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -245,9 +292,12 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
         found = staged(_confirmed(pairs, docs, size, num, den), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        if large is None or level == LEVELS:
+        if level == LEVELS:
             break
-        pairs, large = _deeper(large, reps, labels, level + 1)
+        pairs, large, full = _deeper(large, reps, labels, level + 1)
+        if not full.isEmpty():
+            links = links.unionByName(staged(_compared(full, docs, size, num, den), "links"))
+            labels = components(links)
         if large is None:
             break
     known = reps.join(labels, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
