@@ -76,14 +76,18 @@ class Model:
 def kernel_model(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Nystroem map over evenly taken landmarks, then one-versus-rest kernel ridge regression."""
     names = sorted(set(languages))
-    unit = rows.astype(np.float32) / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+
+    def unit(part: np.ndarray) -> np.ndarray:
+        return part.astype(np.float32) / np.sqrt(np.maximum(part.sum(axis=1, keepdims=True, dtype=np.float32), 1))
+
     order = np.argsort(np.array(languages), kind="stable")  # every language gives its share of landmarks
     chosen = order[np.unique(np.linspace(0, len(order) - 1, min(landmarks, len(order))).astype(int))]
-    marks = unit[chosen]
+    marks = unit(rows[chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     project = vectors[:, good] / np.sqrt(values[good])
-    features = (unit @ marks.T).astype(np.float64) @ project
+    blocks = [unit(rows[i : i + BATCH]) @ marks.T for i in range(0, len(rows), BATCH)]
+    features = np.concatenate(blocks).astype(np.float64) @ project
     target = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # every language weighs as much as any other
     weight = np.array([1.0 / languages.count(x) for x in languages])
@@ -102,10 +106,12 @@ def held_out() -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learns from docs (doc_id, text, lang); every row given may be used."""
     known = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)).alias("draw"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # a thinned set first, so that the window below holds a few thousand rows
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.col("n"))
-    some = known.join(counts, "lang").filter(F.col("draw") < share * (1 << 30))
+    # one number per language, as the model itself has; a thinned set first, so that little text is shuffled
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * per_language + 100) / n))])
+    some = known.filter(F.col("draw") < F.element_at(share, F.col("lang")) * (1 << 30))
     some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("place") <= per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
