@@ -17,6 +17,7 @@ import numpy as np
 
 TABLE_BITS = 11
 REFRESH = 32
+REFRESH_BYTES = 8  # more than one id can take
 STEP = 12  # counts stay under 2 ** 16 within MOST_IDS ids
 MOST_IDS = 4096
 _TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
@@ -33,9 +34,7 @@ class _Range:
         self.decoding = payloads is not None
         self.at = np.zeros(lanes, np.int64)
         if payloads is None:
-            self.width = 8 * steps + 16
-            self.bytes = np.zeros(lanes * self.width, np.uint8)
-            self.base = np.arange(lanes, dtype=np.int64) * self.width
+            self._widen(lanes, 2 * steps + 64 * REFRESH_BYTES)
         else:
             sizes = np.array([len(p) for p in payloads], np.int64)
             self.bytes = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8)
@@ -45,6 +44,18 @@ class _Range:
                 self.code = (self.code << _EIGHT) | self.bytes[self.base + self.at]
                 self.at += 1
 
+    def _widen(self, lanes: int, width: int) -> None:
+        fresh = np.zeros((lanes, width), np.uint8)
+        if hasattr(self, "width"):
+            fresh[:, : self.width] = self.bytes.reshape(lanes, self.width)
+        self.width, self.bytes = width, fresh.reshape(-1)
+        self.base = np.arange(lanes, dtype=np.int64) * width
+
+    def make_room(self) -> None:
+        """Called every REFRESH steps: room for the bytes until the next call."""
+        if not self.decoding and self.at.max() + REFRESH * REFRESH_BYTES > self.width:
+            self._widen(len(self.at), self.width * 3 // 2 + REFRESH * REFRESH_BYTES)
+
     def _settle(self, who: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
         """Writes back the lanes' state, moving finished bytes out (or in)."""
         same = (low ^ (low + size)) < _TOP
@@ -83,9 +94,10 @@ class _Range:
         part = size // flat[row + 256]
         if self.decoding:
             goal = np.minimum((self.code[who] - low) // part, flat[row + 256] - np.uint32(1))
-            symbols = np.zeros(len(who), np.int64)
-            for jump in (128, 64, 32, 16, 8, 4, 2, 1):
-                symbols += np.where(flat[row + symbols + jump] <= goal, jump, 0)
+            at = row.copy()
+            for shift in (7, 6, 5, 4, 3, 2, 1, 0):
+                at += (flat[at + (1 << shift)] <= goal).astype(np.int64) << shift
+            symbols = at - row
         start = flat[row + symbols]
         self._settle(who, low + part * start, part * (flat[row + symbols + 1] - start))
         return symbols
@@ -138,6 +150,7 @@ def _run(lanes: int, steps: int, ids: np.ndarray | None, payloads: list[bytes] |
     before = np.zeros(lanes, np.int64)
     for t in range(steps):
         if t % REFRESH == 0:
+            coder.make_room()
             for c, b in zip(counts, bounds, strict=True):
                 np.cumsum(c, axis=1, out=b[:, 1:])
         x = None if given is None else given[t]
@@ -150,12 +163,12 @@ def _run(lanes: int, steps: int, ids: np.ndarray | None, payloads: list[bytes] |
         at_2 = every * 8 + sure_2 * 2 + agree
         at_1 = every * 8 + sure_1 * 2 + agree
         p_2, p_1 = by_two[at_2], by_one[at_1]
-        p = np.clip((p_2 * weight + p_1 * (256 - weight)) >> 12, 16, 4080)
+        p = np.minimum(np.maximum((p_2 * weight + p_1 * (256 - weight)) >> 12, 16), 4080)
         hit = coder.bit(every, p, None if x is None else x == first)
         _learned(by_two, at_2, p_2, hit)
         _learned(by_one, at_1, p_1, hit)
         better = np.sign(p_2 - p_1) * np.where(hit, 2, -2)
-        weight = np.clip(weight + better, 16, 240)
+        weight = np.minimum(np.maximum(weight + better, 16), 240)
         now = first.copy()
         miss = np.flatnonzero(~hit)
         if len(miss):
@@ -164,7 +177,7 @@ def _run(lanes: int, steps: int, ids: np.ndarray | None, payloads: list[bytes] |
             if len(other):
                 at = other * 4 + sure_1[other]
                 q = second[at]
-                hit_2 = coder.bit(other, np.clip(q >> 4, 16, 4080), None if x is None else x[other] == guess_1[other])
+                hit_2 = coder.bit(other, np.minimum(np.maximum(q >> 4, 16), 4080), None if x is None else x[other] == guess_1[other])
                 _learned(second, at, q, hit_2)
                 now[other[hit_2]] = guess_1[other[hit_2]]
                 done = np.zeros(lanes, bool)

@@ -32,8 +32,8 @@ from textquarry.llm.common import scratch_path, staged
 
 END_ID = 2
 BLOCK = codec.MOST_IDS
-LANES = 1536
-FILE_IDS = 6_000_000
+LANES = 4096
+FILE_IDS = 16_000_000
 KNOWN_WORDS = 400_000
 _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 FORMAT = "shard int, block long, n_ids int, crc32 long, first_doc long, doc_ids array<long>, doc_ends array<int>, payload binary"
