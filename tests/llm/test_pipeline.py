@@ -1,6 +1,8 @@
+import pytest
+
 import corpus_pipeline
 from tests.llm.conftest import frame, sentence
-from tests.oracle import DATA
+from tests.oracle import DATA, connect, difference
 from textquarry.llm import registry
 
 SF = f"{DATA}/sf0.001"
@@ -36,3 +38,8 @@ def test_registered(spark):
     names = set(registry.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
     assert registry.queries()["pipeline"](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    assert difference(registry.queries()[name](spark, SF), connect(SF), registry.oracle_sql()[name]) == ""
