@@ -89,26 +89,30 @@ def terms_of(queries: list[tuple[int, str]], analyzer: str) -> list[str]:
     return sorted({r[4] for i, q in queries for r in clause_rows(i, q, analyzer)})
 
 
-def parsed(spark: SparkSession, queries: list[tuple[int, str]], analyzer: str) -> DataFrame:
-    rows = [r for i, q in queries for r in clause_rows(i, q, analyzer)]
+def parsed(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     frame = spark.createDataFrame(rows, CLAUSES)
     return F.broadcast(frame) if len(rows) <= BROADCAST_TERMS else frame
 
 
-def clause_matches(index: LexicalIndex, clauses: DataFrame) -> DataFrame:
+def clause_matches(index: LexicalIndex, clauses: DataFrame, phrases: bool = True) -> DataFrame:
     """query_id, clause, negated, doc_key and f, how often the clause occurs in the document."""
     hits = index.postings.join(clauses, "term")
     single = hits.filter("steps = 1").groupBy("query_id", "clause", "negated", "doc_key").agg(F.sum("tf").alias("f"))
+    if not phrases:
+        return single
     # a phrase occurs where each of its terms stands at its own distance from one start
     places = hits.filter("steps > 1").select("query_id", "clause", "negated", "steps", "doc_key", "field", "step", F.explode("positions").alias("pos"))
     starts = places.groupBy("query_id", "clause", "negated", "steps", "doc_key", "field", (F.col("pos") - F.col("step")).alias("start")).agg(F.count("*").alias("met"))
-    phrases = starts.filter("met = steps").groupBy("query_id", "clause", "negated", "doc_key").agg(F.count("*").alias("f"))
-    return single.unionByName(phrases)
+    whole = starts.filter("met = steps").groupBy("query_id", "clause", "negated", "doc_key").agg(F.count("*").alias("f"))
+    return single.unionByName(whole)
 
 
-def scores(index: LexicalIndex, clauses: DataFrame) -> DataFrame:
-    """query_id, doc_key, score of every document that has all wanted clauses and no unwanted one."""
-    matches = clause_matches(index, clauses)
+def scores(index: LexicalIndex, clauses: DataFrame, phrases: bool = True, negations: bool = True) -> DataFrame:
+    """query_id, doc_key, score of every document that has all wanted clauses and no unwanted one.
+
+    Without phrases or negations among the clauses, their part of the plan is left out.
+    """
+    matches = clause_matches(index, clauses, phrases)
     wanted, unwanted = matches.filter("not negated"), matches.filter("negated")
     needed = clauses.filter("not negated").groupBy("query_id").agg(F.count_distinct("clause").alias("needed"))
     spread = wanted.groupBy("query_id", "clause").agg(F.count("*").alias("n"))  # one row per clause
@@ -121,7 +125,7 @@ def scores(index: LexicalIndex, clauses: DataFrame) -> DataFrame:
     part = F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     total = scored.groupBy("query_id", "doc_key").agg(F.sum(part).alias("score"), F.count("*").alias("met"))
     full = total.join(needed, "query_id").filter("met = needed").select("query_id", "doc_key", "score")
-    return full.join(unwanted.select("query_id", "doc_key").distinct(), ["query_id", "doc_key"], "left_anti")
+    return full.join(unwanted.select("query_id", "doc_key"), ["query_id", "doc_key"], "left_anti") if negations else full
 
 
 def top_rows(hits: DataFrame, limit: int | None, order: list, by: str = "query_id") -> DataFrame:
@@ -135,14 +139,16 @@ def search(index: LexicalIndex, queries: list[tuple[int, str]], docs: DataFrame,
 
     The collection filter does not touch the statistics; the limit comes before the minimum score.
     """
-    spark = docs.sparkSession
-    found = scores(index, parsed(spark, queries, index.analyzer)).join(docs, "doc_key")
+    rows = [r for i, q in queries for r in clause_rows(i, q, index.analyzer)]
+    clauses = parsed(docs.sparkSession, rows)
+    found = scores(index, clauses, any(r[3] > 1 for r in rows), any(r[-1] for r in rows))
+    places = docs.select("doc_key", "collection", "path")
     names = query_syntax.split_collections(collections)
-    if names:
-        found = found.filter(F.col("collection").isin(names))
+    found = found.join(places.filter(F.col("collection").isin(names)) if names else places, "doc_key")
     size = None if every else (limit or DEFAULT_LIMIT)
-    top = top_rows(found, size, [F.desc("score"), F.col("collection"), F.col("path")])
-    return top.filter(F.col("score") >= min_score)
+    top = top_rows(found, size, [F.desc("score"), F.col("collection"), F.col("path")]).filter(F.col("score") >= min_score)
+    shown = docs.drop("collection", "path")  # texts join the best rows alone
+    return top.join(shown, "doc_key") if len(shown.columns) > 1 else top
 
 
 def snippet(text: str | None, phrases: list[list[str]], analyzer: str = "porter", width: int = SNIPPET_TOKENS) -> str:
