@@ -195,3 +195,16 @@ def similarity(distance: Column) -> Column:
 def plain_text(text: Column) -> Column:
     """Without terminal colour codes."""
     return F.regexp_replace(text, "\x1b\\[[0-9;]*m", "")
+
+
+def human_bytes(n: int) -> str:
+    """A size for people, in powers of 1024."""
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+        if n >= 1024**power:
+            return f"{n / 1024**power:.2f} {unit}"
+    return f"{n} B"
+
+
+def shortened(text: str, width: int) -> str:
+    """text in at most `width` characters."""
+    return text if len(text) <= width else text[: width - 1] + "…"

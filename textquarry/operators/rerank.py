@@ -32,17 +32,24 @@ class OverlapReranker:
         return [float(sum(w in wanted for w in t.lower().split())) for t in texts]
 
 
-def with_logits(hits: DataFrame, reranker: Reranker, text: str = "snippet", top: int = CANDIDATES) -> DataFrame:
-    """Adds logit to the first `top` hits of each query; their texts are cut first."""
+def with_logits(hits: DataFrame, reranker: Reranker, text: str = "snippet", top: int = CANDIDATES, strict: bool = True) -> DataFrame:
+    """Adds logit to the first `top` hits of each query; their texts are cut first.
+
+    Unless strict, a reranker that fails gives no logits, and the first ranking stands.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
         out = pd.Series(index=texts.index, dtype=float)
         for query, part in texts.fillna("").groupby(queries):
-            scores = reranker.score(query, part.tolist())
-            if len(scores) != len(part):
-                raise ValueError("the reranker's answer does not fit the request")
-            out[part.index] = scores
+            try:
+                scores = reranker.score(query, part.tolist())
+                if len(scores) != len(part):
+                    raise ValueError("the reranker's answer does not fit the request")
+                out[part.index] = scores
+            except Exception:
+                if strict:
+                    raise
         return out
 
     return hits.withColumn("logit", F.when(F.col("rank") <= top, run(F.col("query"), truncated(F.col(text)))))
@@ -51,7 +58,7 @@ def with_logits(hits: DataFrame, reranker: Reranker, text: str = "snippet", top:
 def normalised(hits: DataFrame, top: int = CANDIDATES) -> DataFrame:
     """Adds rerank_score in 0..1: min-max over the first `top` hits of a query, 0.5 where all are equal and beyond."""
     per_query = Window.partitionBy("query_id")
-    inside = F.when(F.col("rank") <= top, F.col("logit"))
+    inside = F.when((F.col("rank") <= top) & ~F.isnan("logit"), F.col("logit"))
     low, high = F.min(inside).over(per_query), F.max(inside).over(per_query)
     score = F.when(inside.isNull() | (high == low), NEUTRAL).otherwise((F.col("logit") - low) / F.when(high != low, high - low))
     return hits.withColumn("rerank_score", score)

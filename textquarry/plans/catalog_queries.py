@@ -638,6 +638,20 @@ def x17_metrics(spark, sf_dir):
     return rows.select("query_id", F.round("p_at_5", 6).alias("p_at_5"), F.round("r_at_10", 6).alias("r_at_10"), F.round("mrr", 6).alias("mrr"))
 
 
+@query(f"""WITH {_BM25}, q(query_id, term) AS (VALUES (1, 'with'), (2, 're'), (3, 'er'), (4, 'on')),
+hit AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, source, lang || '/' || doc_id || '.md') AS rank FROM q JOIN part USING (term) JOIN documents USING (doc_id)),
+top AS (SELECT query_id, rank, coalesce(l.quality, 0) AS good FROM hit LEFT JOIN labels l USING (doc_id) WHERE rank <= 10),
+per AS (SELECT query_id, coalesce(sum(good) FILTER (rank <= 1), 0) / 1 AS p1, coalesce(sum(good) FILTER (rank <= 5), 0) / 5 AS p5, coalesce(sum(good), 0) / 10 AS p10, coalesce(1 / min(rank) FILTER (good = 1), 0) AS rr FROM top GROUP BY query_id)
+SELECT round(avg(p1), 3) AS p_at_1, round(avg(p5), 3) AS p_at_5, round(avg(p10), 3) AS p_at_10, round(avg(rr), 3) AS mrr FROM per""")
+def a10_macro_averages(spark, sf_dir):
+    asked = [(1, "with"), (2, "re"), (3, "er"), (4, "on")]
+    hits = _search(spark, sf_dir, asked, limit=10)
+    got = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_key").cast("string").alias("d")))).alias("h")).select("query_id", F.transform("h", lambda x: x["d"]).alias("retrieved"))
+    relevant = _table(spark, sf_dir, "labels").filter("quality = 1").agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant"))
+    qrels = spark.createDataFrame([(i,) for i, _ in asked], "query_id long").crossJoin(relevant)
+    return evaluation.summary(evaluation.metrics(got, qrels)).select("p_at_1", "p_at_5", "p_at_10", "mrr")
+
+
 @query()
 def x16_benchmark_run(spark, sf_dir):
     """Benchmark items as queries; the documents that hold them word for word are relevant."""

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import chunking, globs
 from textquarry.functions import text as X
-from textquarry.operators import catalog, expansion, fusion, lexical, rerank, vector
-from textquarry.sources.readers import read_folder
+from textquarry.operators import catalog, evaluation, expansion, fusion, lexical, rerank, vector
+from textquarry.sources.readers import read_folder, read_qrels
 
 SCHEMAS = {
     "collections": "name string, root string, glob string, context string",
@@ -152,6 +152,19 @@ class Engine:
         self._state["tables"]["postings"] = place
         self._commit()
 
+    def rechunk(self, strategy: str = "auto") -> None:
+        """Cuts every document again, by another strategy."""
+        self._put(chunks=self.chunked(self.table("documents"), strategy))
+
+    def drop_embeddings(self, path: str | None = None) -> None:
+        """Forgets all vectors, or those of the documents at one path."""
+        vectors = self.table("embeddings")
+        gone = self.table("documents").filter(F.col("path") == path).select("doc_key") if path else vectors.select("doc_key")
+        self._put(embeddings=vectors.join(gone.distinct(), "doc_key", "left_anti"))
+        if path is None:
+            self._state["metadata"].pop("embedding_model", None)
+            self._commit()
+
     def embed(self, embedder: vector.Embedder, force: bool = False) -> int:
         """Embeds the chunks that no vector stands for yet, all of them with force; returns how many."""
         catalog.check_model(self.metadata("embedding_model"), embedder.model, force)
@@ -236,7 +249,7 @@ class Engine:
             merged[0] = merged[1].limit(0)
         fused = fusion.fuse(*merged).withColumn("score", F.col("fused_score"))
         if reranker is not None:
-            scored = rerank.blended(rerank.with_logits(fused.withColumn("query", F.lit(query)), reranker))
+            scored = rerank.blended(rerank.with_logits(fused.withColumn("query", F.lit(query)), reranker, strict=False))
             fused = scored.withColumn("score", F.col("blended_score"))
         limited = fused.filter(F.col("rank") <= options.limit) if options.limit else fused
         return limited.filter(F.col("score") >= options.min_score)
@@ -248,6 +261,26 @@ class Engine:
         rows = expansion.variants(self.spark.createDataFrame([(0, query, answer)], "query_id long, query string, answer string"))
         return [(r["kind"], r["content"]) for r in rows.orderBy("line_no").collect()]
 
+    def benchmark(self, qrels_path: str, mode: str = "bm25", embedder: vector.Embedder | None = None, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+        """Metrics of each judged query and their macro averages; mode is bm25, vector or hybrid.
+
+        The judged queries, a file that people write, run as one batch.
+        """
+        if mode not in ("bm25", "vector", "hybrid"):
+            raise catalog.CatalogError(f"no mode {mode}: bm25, vector or hybrid")
+        qrels = read_qrels(self.spark, qrels_path).persist()
+        asked = [(r["query_id"], r["query"]) for r in qrels.select("query_id", "query").collect()]
+        options = SearchOptions(limit)
+        columns = ["query_id", "rank", "score", "collection", "path", "doc_id"]
+        lists = []
+        if mode != "vector":
+            lists.append(self.search_many(asked, options).select(*columns))
+        if mode != "bm25":
+            lists.append(self.search_vectors([(i, self._query_vector(q, embedder)) for i, q in asked], options).select(*columns))
+        hits = lists[0] if len(lists) == 1 else fusion.fuse(*lists).filter(F.col("rank") <= limit)
+        rows = evaluation.metrics(evaluation.identifiers(hits), qrels)
+        return rows, evaluation.summary(rows)
+
     # --- lookup
 
     def get(self, spec: str) -> DataFrame:
