@@ -4,7 +4,7 @@ Documents of equal shingle sets form one class. Every class walks down TREES
 independent trees: each of the first DEPTH steps selects one minwise token, and
 the tokens chosen so far name the node. Two classes of similarity s share a
 tree's node with chance s ** DEPTH, so at 0.8 the trees together miss a pair
-with chance 1e-5, at 0.85 with 4e-7 or so.
+with chance 3e-5, at 0.85 with 4e-7.
 
 Small nodes are compared exhaustively. In a larger node all members are first
 compared with one pivot. Members of one component need no further comparison
