@@ -600,13 +600,13 @@ def x08_parse_variants(spark, sf_dir):
     return rows.filter("kind <> 'lex'").select("query_id", "kind", "content")
 
 
-_LOGITS = "h AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rank, CAST(l_quantity AS DOUBLE) AS logit FROM lineitem WHERE l_orderkey % 3 = 0)"
+_LOGITS = "h AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS rank, CAST(l_quantity AS DOUBLE) AS logit FROM lineitem WHERE l_orderkey % 3 = 0)"
 _NORMAL = f"{_LOGITS}, b AS (SELECT *, min(CASE WHEN rank <= 4 THEN logit END) OVER w AS lo, max(CASE WHEN rank <= 4 THEN logit END) OVER w AS hi, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY query_id)), s AS (SELECT *, CASE WHEN rank > 4 OR hi = lo THEN 0.5::DOUBLE ELSE (logit - lo) / (hi - lo) END AS rerank_score FROM b)"
 
 
 def _logits(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0")
-    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
     return rows.select(F.col("l_orderkey").alias("query_id"), rank.alias("rank"), F.col("l_quantity").cast("double").alias("logit"))
 
 
