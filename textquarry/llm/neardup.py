@@ -46,6 +46,7 @@ FULL = 1 << 20
 BRANCHES = 4
 STEPS = 3
 LEVELS = 5
+FILTER_BITS = 26
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD_A, _FOLD_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -162,13 +163,29 @@ def _likely(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is among ids (rep); texts of most others are left out before anything is shuffled.
+
+    A bitmap of 2 ** FILTER_BITS bits, whatever the number of ids, goes to all
+    tasks: 8 MB at most. What it lets through by chance the join drops.
+    """
+    slot = F.pmod(F.xxhash64(F.col("rep"), F.lit("filter")), F.lit(1 << FILTER_BITS))
+    marks = ids.groupBy(F.bitmap_bucket_number(slot).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("filter")), F.lit(1 << FILTER_BITS))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    seen = docs.select("doc_id", "text", F.bitmap_bucket_number(place).alias("__part"), at.alias("__at")).join(F.broadcast(marks), "__part")
+    some = seen.filter(F.getbit(byte, F.pmod("__at", F.lit(8)).cast("int")) == 1)
+    return some.select("doc_id", "text").join(ids.hint("shuffle_merge"), F.col("doc_id") == ids["rep"], "left_semi")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [packed(shingle_set(t.as_py(), size)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
-    return docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["rep"], "left_semi").mapInArrow(run, "rep long, shingles binary")
+    return _only(docs, ids).mapInArrow(run, "rep long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
