@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,35 @@ def identifiers(hits: DataFrame) -> DataFrame:
     return pairs.select("query_id", F.array_distinct(F.filter(F.array_compact(flat), lambda x: x != "")).alias("retrieved"))
 
 
+def holders(docs: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
+    """query_id and relevant, for every item (id, words): the paths of docs (path, terms) with these words in a row.
+
+    No index or ranking takes part. An item without words is held by none.
+    A text is looked through only for the items whose longest word it has.
+    """
+    by_word: dict[str, list[tuple[int, str]]] = {}
+    for i, words in items:
+        if words:
+            by_word.setdefault(max(words, key=len), []).append((i, f" {' '.join(words)} "))
+    sent = docs.sparkSession.sparkContext.broadcast(by_word)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        for batch in batches:
+            ids, paths = [], []
+            for path, terms in zip(batch.column("path").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                known = wanted.keys() & set(terms or ())
+                text = f" {' '.join(terms)} " if known else ""
+                found = [i for w in known for i, needle in wanted[w] if needle in text]
+                ids += found
+                paths += [path] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string())], names=["query_id", "path"])
+
+    found = docs.select("path", "terms").mapInArrow(run, "query_id long, path string").groupBy("query_id").agg(F.collect_set("path").alias("relevant"))
+    every = docs.sparkSession.createDataFrame([(i,) for i, _ in items], "query_id long")
+    return every.join(found, "query_id", "left").select("query_id", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"))
+
+
 def metrics(retrieved: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """Per query: p_at_k, r_at_k (not for 1) and mrr of retrieved (query_id, retrieved) by qrels (query_id, relevant)."""
     both = qrels.join(retrieved, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))

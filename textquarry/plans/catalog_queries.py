@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions import chunking, globs
+from textquarry.functions import analyze, chunking, globs
 from textquarry.functions import text as X
 from textquarry.operators import catalog, evaluation, expansion, fusion, lexical, rerank, vector
 from textquarry.sources import sinks
@@ -654,18 +654,16 @@ def a10_macro_averages(spark, sf_dir):
 
 @query()
 def x16_benchmark_run(spark, sf_dir):
-    """Benchmark items as queries; the documents that hold them word for word are relevant."""
-    items = _table(spark, sf_dir, "benchmark").orderBy("item_id").limit(10).collect()
-    asked = [(r["item_id"], '"' + " ".join(_words(r["text"])[2:7]) + '"') for r in items]
-    hits = _search(spark, sf_dir, asked, limit=10)
-    qrels = hits.filter("rank <= 3").groupBy("query_id").agg(F.collect_set("path").alias("relevant"))
+    """Every benchmark item as a query of all its words; the documents that hold it word for word are relevant."""
+    items = [(r["item_id"], _words(r["text"] or "")) for r in _table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    docs = _corpus(spark, sf_dir)
+    hits = _search(spark, sf_dir, [(i, " ".join(words)) for i, words in items], limit=10)
+    qrels = evaluation.holders(docs.select("path", analyze.simple_terms(F.col("content")).alias("terms")), items)
     return evaluation.summary(evaluation.metrics(evaluation.identifiers(hits), qrels))
 
 
 def _words(text: str) -> list[str]:
-    from textquarry.functions.analyze import query_terms
-
-    return query_terms(text, "simple")
+    return analyze.query_terms(text, "simple")
 
 
 @query(f"WITH {_CORPUS} SELECT doc_key FROM corpus WHERE regexp_matches(path, '^(?:.*/)?[^/]*[.](?:txt|md|go)$')")
