@@ -30,6 +30,14 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
+#: Where a candidate begins, and what stands from there on; candidates other than e-mail addresses have at most 43 characters.
+START = f"(?={ANY})"
+WINDOW = 48
+#: A shorter run of card digits does not end inside what is written as an SSN.
+CARD_END = r"(?![0-9]|-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<=\x20[0-9]{3}-[0-9]{2})-[0-9]{4}(?![0-9-]))"
+#: What else can begin at the start of a candidate that is not valid: shorter runs first of all, then the other kinds.
+SHORTER_IBANS = [r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){%d}%s(?![A-Za-z0-9])" % (g, rf"\x20?[A-Z0-9]{{{t}}}" if t else "") for g in range(7, 1, -1) for t in (3, 2, 1, 0)]
+SHORTER_CARDS = [r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){%d}" % (n - 1) + CARD_END for n in range(19, 12, -1)]
 ROUNDS = 8
 #: 400 years from 1800-01-01, as a product of two numbers near each other.
 DAY_HALVES = (189, 773)
@@ -51,7 +59,7 @@ def feistel(a: Column, b: Column, m_a: Column, m_b: Column, key: str, tweak: Col
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step)
 
 
-def permuted_digits(digits: Column, key: str, tweak: str) -> Column:
+def permuted_digits(digits: Column, key: str, tweak: str | Column) -> Column:
     """A string of 2 to 36 digits, permuted among those of its length."""
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
@@ -60,7 +68,7 @@ def permuted_digits(digits: Column, key: str, tweak: str) -> Column:
     return F.transform(F.array(got), lambda g: F.concat(F.lpad(g["a"].cast("string"), u, "0"), F.lpad(g["b"].cast("string"), n - u, "0")))[0]
 
 
-def permuted_letters(letters: Column, key: str, tweak: str) -> Column:
+def permuted_letters(letters: Column, key: str, tweak: str | Column) -> Column:
     """A string of 2 to 24 letters a-z, permuted among those of its length."""
     n = F.length(letters)
     u = F.floor(n / 2).cast("int")
@@ -157,25 +165,35 @@ def _ssn(v: Column, key: str) -> Column:
     return refilled(v, permuted_digits(digits_of(v), key, "ssn"))
 
 
+def _in_runs(value: Column, most: int, one, permuted) -> Column:
+    """value in runs of `most` characters, each permuted among those of its length; a single character is shifted by a keyed step, never by none."""
+    runs = F.regexp_extract_all(value, F.lit(f".{{1,{most}}}"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r, i: F.when(F.length(r) == 1, one(r)).otherwise(permuted(r, F.when(i == 0, "email").otherwise(F.concat(F.lit("email/"), i.cast("string"), F.lit("/")))))), "")
+
+
+def _shifted(first: str, size: int, key: str):
+    """A function that moves one character among the `size` from `first` on by a step of 1 to size - 1."""
+    step = F.pmod(F.conv(F.substring(F.sha2(F.lit(f"{key}:email:one:{first}"), 256), 1, 15), 16, 10).cast("long"), F.lit(size - 1)) + 1
+    return lambda c: F.char(F.pmod(F.ascii(c) - ord(first) + step, F.lit(size)) + ord(first))
+
+
 def _email(v: Column, key: str) -> Column:
-    """Letters and digits of the local part are permuted apart; a run too short to permute joins a fixed keyed shift."""
-    local = F.substring_index(v, "@", 1)
-    low = F.lower(local)
+    """Letters and digits of the local part are permuted apart, in runs of 24 and 36; a run of one joins a fixed keyed shift."""
+    low = F.lower(F.substring_index(v, "@", 1))
 
     def refill_letters(s: Column, fresh: Column) -> Column:
         state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
         def step(t: Column, c: Column) -> Column:
-            is_letter = c.between("a", "z") & (t["at"] <= F.length(fresh))
+            is_letter = c.between("a", "z")
             return F.struct((t["at"] + is_letter.cast("int")).alias("at"), F.concat(t["out"], F.when(is_letter, F.substr(fresh, t["at"], F.lit(1))).otherwise(c)).alias("out"))
 
         return F.aggregate(chars(s), state, step, lambda t: t["out"])
 
-    letters = F.substr(F.regexp_replace(low, "[^a-z]", ""), F.lit(1), F.lit(24))
-    digits = F.substr(digits_of(low), F.lit(1), F.lit(36))
-    with_digits = F.when(F.length(digits) >= 2, refilled(low, F.concat(permuted_digits(digits, key, "email"), F.substr(digits_of(low), F.lit(37))))).otherwise(low)
-    whole = F.when(F.length(letters) >= 2, once(permuted_letters(letters, key, "email"), lambda f: refill_letters(with_digits, f))).otherwise(with_digits)
-    return F.concat(whole, F.lit("@"), F.substring_index(v, "@", -1))
+    letters = _in_runs(F.regexp_replace(low, "[^a-z]", ""), 24, _shifted("a", 26, key), lambda r, tweak: permuted_letters(r, key, tweak))
+    digits = _in_runs(digits_of(low), 36, _shifted("0", 10, key), lambda r, tweak: permuted_digits(r, key, tweak))
+    with_digits = once(digits, lambda d: refilled(low, d))
+    return F.concat(once(letters, lambda f: refill_letters(with_digits, f)), F.lit("@"), F.substring_index(v, "@", -1))
 
 
 def kind_of(v: Column) -> Column:
@@ -203,19 +221,63 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def _first_valid(around: Column, patterns: list[str]) -> Column:
+    """The first valid value, with its kind, that one of the patterns finds behind the first character of `around`."""
+    tried = F.array(*[F.regexp_extract(around, rf"(?s)\A.({p})", 1) for p in patterns])
+    typed = F.transform(tried, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
+    return F.get(F.filter(typed, lambda t: t["kind"].isNotNull()), F.lit(0))
+
+
+def found_at_starts(text: Column) -> Column:
+    """array<struct<value, kind>>: the text in pieces, valid values with their kind and all between them with none.
+
+    Every place where a candidate can begin is looked at, those inside a candidate that
+    is not valid too; of values that overlap the one that begins first counts.
+    """
+    pieces = F.split(text, START, -1)
+    greedy = F.regexp_extract_all(text, F.lit(f"(?=({ANY}))"), F.lit(1))
+    windows = F.regexp_extract_all(text, F.lit(rf"(?s)(?={ANY})(?=(.{{1,{WINDOW}}}))"), F.lit(1))
+
+    def placed(pieces: Column, starts: Column) -> Column:
+        before = F.size(pieces) - F.size(starts)  # 1 if the text does not begin with a candidate
+
+        def best(s: Column, i: Column) -> Column:
+            around = F.concat(F.coalesce(F.right(F.get(pieces, i + before - 1), F.lit(1)), F.lit("\n")), s["window"])
+            others = F.when(s["window"].rlike("^[A-Z]"), _first_valid(around, SHORTER_IBANS)).otherwise(_first_valid(around, [PATTERNS["date"], PATTERNS["ip"], PATTERNS["phone"], *SHORTER_CARDS, PATTERNS["ssn"]]))
+            kind = kind_of(s["value"])
+            got = once(kind, lambda k: F.when(k.isNotNull(), F.struct(s["value"].alias("value"), k.alias("kind"))).otherwise(others))
+            return F.struct(F.get(pieces, i + before).alias("piece"), got.alias("got"))
+
+        head = F.when(before > 0, F.get(pieces, F.lit(0))).otherwise(F.lit(""))
+        empty = F.expr("cast(array() as array<struct<value:string,kind:string>>)")
+
+        def literal(v: Column) -> Column:
+            return F.struct(v.alias("value"), F.lit(None).cast("string").alias("kind"))
+
+        def step(state: Column, p: Column) -> Column:
+            taken = (state["over"] <= 0) & p["got"].isNotNull()
+            over = F.when(taken, F.length(p["got"]["value"])).otherwise(F.greatest(state["over"], F.lit(0)))
+            rest = literal(F.substr(p["piece"], over + 1))
+            added = F.when(taken, F.array(F.struct(p["got"]["value"].alias("value"), p["got"]["kind"].alias("kind")), rest)).otherwise(F.array(rest))
+            return F.struct((over - F.length(p["piece"])).cast("int").alias("over"), F.concat(state["out"], added).alias("out"))
+
+        spans = F.transform(starts, best)
+        return F.aggregate(spans, F.struct(F.lit(0).alias("over"), F.concat(empty, F.array(literal(head))).alias("out")), step, lambda s: s["out"])
+
+    starts = F.arrays_zip(greedy.alias("value"), windows.alias("window"))
+    return once(pieces, lambda p: once(starts, lambda s: placed(p, s)))
+
+
 def pseudonymise(docs: DataFrame, key: str, keep: list[str]) -> DataFrame:
     """The columns `keep`, the new text, and one count n_<kind> for each kind."""
     text = F.col("__text")
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    hit = text.rlike(ANY)
     empty = F.expr("cast(array() as array<struct<value:string,kind:string>>)")
-    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
-    rows = rows.withColumn("__found", F.when(hit, found).otherwise(empty))
+    rows = rows.withColumn("__found", F.when(text.rlike(ANY), found_at_starts(text)).otherwise(empty))
     fresh = F.transform("__found", lambda f: F.when(f["kind"].isNull(), f["value"]).otherwise(pseudonym(f["value"], f["kind"], key)))
-    woven = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), fresh, lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
 
     def found_of(kind: str) -> Column:
         return F.size(F.filter("__found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [found_of(k) for k in KINDS]
-    return rows.select(*keep, F.when(F.size("__found") > 0, woven).otherwise(text).alias("text"), *counts)
+    return rows.select(*keep, F.when(F.size("__found") > 0, F.array_join(fresh, "")).otherwise(text).alias("text"), *counts)
