@@ -337,9 +337,16 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without all but the first document of each component."""
-    found = classes(docs, size, num, den)
-    chosen = found.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["__id"]), "left_semi")
-    ids = docs.filter("doc_id is not null").select("doc_id").groupBy("doc_id").count()
-    return kept if ids.filter("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """docs without all but the first document of each component; rows with a null doc_id stay.
+
+    Every row counts by itself, whatever ids repeat. Blank texts link with
+    nothing: of those only repeats of one doc_id are left out.
+    """
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    named = rows.filter("doc_id is not null")
+    found = classes(named.select(F.col("__row").alias("doc_id"), "text"), size, num, den)
+    ids = named.select("__row", F.col("doc_id").cast("long").alias("__id"))
+    blank = F.col("n_shingles") == 0
+    group = F.struct(blank.alias("blank"), F.when(blank, F.col("__id")).otherwise(F.col("component_id")).alias("of"))
+    first = found.join(ids, found["doc_id"] == ids["__row"]).groupBy(group.alias("g")).agg(F.min(F.struct("__id", "__row"))["__row"].alias("__row"))
+    return named.join(first, "__row", "left_semi").unionByName(rows.filter("doc_id is null")).select(*docs.columns)
