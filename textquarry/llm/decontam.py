@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textquarry.llm.common import staged
+
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 SAMPLE_EVERY = 8
@@ -246,12 +248,14 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     if blocks == 1:
         return _probe(docs, [tuple(r) for r in items.collect()], keep)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks * 2))
-    base = docs.withColumn("__hash", F.xxhash64("text")) if "__hash" not in docs.columns else docs
+    # the blocks meet by this key alone, so that repeated rows stay apart
+    base = staged(docs.select(*keep, F.col("text").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__row")), "rows")
     found = None
     for b in range(blocks * 2):
-        one = _probe(base, [tuple(r) for r in items.filter(part == b).collect()], [*keep, "__hash"])
+        one = _probe(base.select("__row", F.col("__text").alias("text")), [tuple(r) for r in items.filter(part == b).collect()], ["__row"])
         found = one if found is None else found.unionByName(one)
-    rows = found.groupBy(*keep, "__hash").agg(F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__starts")).alias("s"), F.flatten(F.collect_list("__ends")).alias("e"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
+    found = found.groupBy("__row").agg(F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__starts")).alias("s"), F.flatten(F.collect_list("__ends")).alias("e"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
+    rows = base.drop("__text").join(found, "__row")
 
     def joined(rows_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in:
