@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,8 +58,9 @@ def distances(batch: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray
 def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: int | None = None, metric: str = "l2", doc: str = "doc_key", chunk: str = "chunk_key") -> DataFrame:
     """query_id, rank, doc_key, chunk_key, distance and score: the best chunk of each of the nearest documents.
 
-    Each Arrow batch keeps its own best documents per query: no other document
-    of the batch can be among the best overall. Only these few rows are
+    Each Arrow batch keeps its own best documents per query, ties ordered by doc_key
+    and chunk_key as in the final ranking: no other document of the batch can be
+    among the best overall. Only these few rows are
     shuffled. The queries, a batch that the caller made, go to every task.
     """
     size = limit or DEFAULT_LIMIT
@@ -79,10 +81,14 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: i
             found = distances(flat.reshape(n, -1), matrix, metric)
             docs = np.array(batch.column("doc_key").to_pylist(), object)
             chunks = np.array(batch.column("chunk_key").to_pylist(), object)
+            # places of the rows by (doc_key, chunk_key), nulls first as in the final ranking
+            tied = np.empty(n, np.int64)
+            keys = pa.table({"doc": batch.column("doc_key"), "chunk": batch.column("chunk_key")})
+            tied[pc.sort_indices(keys, [("doc", "ascending"), ("chunk", "ascending")], null_placement="at_start").to_numpy()] = np.arange(n)
             out = []
             for k, query in enumerate(ids):
                 column, seen = found[:, k], set()
-                for i in np.lexsort((np.arange(n), column)):
+                for i in np.lexsort((tied, column)):
                     if docs[i] not in seen:
                         seen.add(docs[i])
                         out.append((int(query), docs[i], chunks[i], float(column[i])))
