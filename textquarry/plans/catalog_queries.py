@@ -81,6 +81,15 @@ def f03_titles(spark, sf_dir):
     return docs.select("doc_id", X.title(content, F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("title"))
 
 
+@query()
+def f03_titles_whole(spark, sf_dir):
+    """f03_titles over every document, those included whose text is more than SQL follows."""
+    docs = _docs(spark, sf_dir)
+    first = F.split_part("text", F.lit("."), F.lit(1))
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\ntags: x\n---\n\n# "), first, F.lit("\n"), "text")).otherwise(F.col("text"))
+    return docs.select("doc_id", X.title(content, F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("title"))
+
+
 _CODE_SPARK = {
     0: ("go", "package p{i}\n\nfunc (r *T) helper() {{}}\n\nfunc Find{i}(x int) int {{\n}}\n"),
     1: ("py", "import os\n\nasync def find_{i}(x):\n    pass\n"),
@@ -112,6 +121,14 @@ def f05_frontmatter(spark, sf_dir):
     return docs.select("doc_id", F.length(X.strip_frontmatter(content)).cast("long").alias("n_chars"))
 
 
+@query()
+def f05_frontmatter_whole(spark, sf_dir):
+    """f05_frontmatter over every document, those with delimiters or leading line ends of their own included."""
+    k = F.col("doc_id") % 4
+    content = F.when(k == 0, F.concat(F.lit("---\na: 1\n---\n"), "text")).when(k == 1, F.concat(F.lit("+++\na = 1\n+++\n\n"), "text")).when(k == 2, F.concat(F.lit("---\nunclosed"), "text")).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.length(X.strip_frontmatter(content)).cast("long").alias("n_chars"))
+
+
 _EXTENSIONS = ["md", "TXT", "go", "tsx", "js", "py", "java", "rs", "yaml", "Dockerfile", "sql", "c"]
 _LIST = ", ".join(f"'{e}'" for e in _EXTENSIONS)
 
@@ -604,8 +621,12 @@ _LOGITS = "h AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY
 _NORMAL = f"{_LOGITS}, b AS (SELECT *, min(CASE WHEN rank <= 4 THEN logit END) OVER w AS lo, max(CASE WHEN rank <= 4 THEN logit END) OVER w AS hi, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY query_id)), s AS (SELECT *, CASE WHEN rank > 4 OR hi = lo THEN 0.5::DOUBLE ELSE (logit - lo) / (hi - lo) END AS rerank_score FROM b)"
 
 
-def _logits(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = 0")
+_ALL_NORMAL = _NORMAL.replace(" WHERE l_orderkey % 3 = 0", "")
+
+
+def _logits(spark, sf_dir, every=False):
+    rows = _table(spark, sf_dir, "lineitem")
+    rows = rows if every else rows.filter("l_orderkey % 3 = 0")
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
     return rows.select(F.col("l_orderkey").alias("query_id"), rank.alias("rank"), F.col("l_quantity").cast("double").alias("logit"))
 
@@ -616,6 +637,13 @@ def x11_rerank(spark, sf_dir):
     return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.col("rank").cast("long").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
+@query(f"WITH {_ALL_NORMAL} SELECT query_id, rank AS first_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank, round(rerank_score, 6) AS rerank_score FROM s")
+def x11_rerank_whole(spark, sf_dir):
+    """x11_rerank over every row of lineitem."""
+    got = rerank.reranked(_logits(spark, sf_dir, every=True), top=4)
+    return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.col("rank").cast("long").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
+
+
 @query(f"""WITH {_NORMAL}, m AS (SELECT *, CASE WHEN rank <= 3 THEN 0.75::DOUBLE WHEN rank <= 10 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w FROM s), x AS (SELECT *, w * (CASE WHEN n > 1 THEN 1 - (rank - 1)::DOUBLE / (n - 1) ELSE 1 END) + (1 - w) * rerank_score AS blended FROM m)
 SELECT query_id, rank AS first_rank, round(blended, 6) AS blended_score FROM x""")
 def x12_blend(spark, sf_dir):
@@ -623,6 +651,14 @@ def x12_blend(spark, sf_dir):
     return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.round("blended_score", 6).alias("blended_score"))
 
 
+@query(f"""WITH {_ALL_NORMAL}, m AS (SELECT *, CASE WHEN rank <= 3 THEN 0.75::DOUBLE WHEN rank <= 10 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w FROM s), x AS (SELECT *, w * (CASE WHEN n > 1 THEN 1 - (rank - 1)::DOUBLE / (n - 1) ELSE 1 END) + (1 - w) * rerank_score AS blended FROM m)
+SELECT query_id, rank AS first_rank, round(blended, 6) AS blended_score FROM x""")
+def x12_blend_whole(spark, sf_dir):
+    """x12_blend over every row of lineitem."""
+    got = rerank.blended(_logits(spark, sf_dir, every=True), top=4)
+    return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.round("blended_score", 6).alias("blended_score"))
+
+
 @query(f"""WITH {_BM25}, q(query_id, term) AS (VALUES (1, 'with'), (3, 'er'), (5, 'zzzz')),
 hit AS (SELECT query_id, doc_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, source, lang || '/' || doc_id || '.md') AS rank FROM q JOIN part USING (term) JOIN documents USING (doc_id)),
 top AS (SELECT query_id, rank, h.doc_id, coalesce(l.quality, 0) AS good FROM hit h LEFT JOIN labels l USING (doc_id) WHERE rank <= 10),
