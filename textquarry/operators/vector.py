@@ -20,6 +20,8 @@ from textquarry.functions.query_syntax import split_collections
 from textquarry.operators.lexical import top_rows
 
 EMBED_BATCH = 32
+#: Queries whose distances to one Arrow batch are held at a time.
+QUERY_BLOCK = 256
 #: How many chunks the unfiltered search takes before it looks at documents.
 OVERFETCH, FETCH_LEAST, FETCH_MOST = 4, 50, 4096
 DEFAULT_LIMIT = 5
@@ -78,24 +80,26 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: i
             flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             if len(flat) != n * matrix.shape[1]:
                 raise ValueError(f"vectors must have {matrix.shape[1]} numbers")
-            found = distances(flat.reshape(n, -1), matrix, metric)
+            points = flat.reshape(n, -1)
             docs = np.array(batch.column("doc_key").to_pylist(), object)
             chunks = np.array(batch.column("chunk_key").to_pylist(), object)
             # places of the rows by (doc_key, chunk_key), nulls first as in the final ranking
             tied = np.empty(n, np.int64)
             keys = pa.table({"doc": batch.column("doc_key"), "chunk": batch.column("chunk_key")})
             tied[pc.sort_indices(keys, [("doc", "ascending"), ("chunk", "ascending")], null_placement="at_start").to_numpy()] = np.arange(n)
-            out = []
-            for k, query in enumerate(ids):
-                column, seen = found[:, k], set()
-                for i in np.lexsort((tied, column)):
-                    if docs[i] not in seen:
-                        seen.add(docs[i])
-                        out.append((int(query), docs[i], chunks[i], float(column[i])))
-                        if len(seen) == size:
-                            break
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field("doc_key").type), pa.array(columns[2], batch.schema.field("chunk_key").type), pa.array(columns[3], pa.float64())], names=["query_id", "doc_key", "chunk_key", "distance"])
+            for at in range(0, len(ids), QUERY_BLOCK):
+                found = distances(points, matrix[at : at + QUERY_BLOCK], metric)
+                out = []
+                for k, query in enumerate(ids[at : at + QUERY_BLOCK]):
+                    column, seen = found[:, k], set()
+                    for i in np.lexsort((tied, column)):
+                        if docs[i] not in seen:
+                            seen.add(docs[i])
+                            out.append((int(query), docs[i], chunks[i], float(column[i])))
+                            if len(seen) == size:
+                                break
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field("doc_key").type), pa.array(columns[2], batch.schema.field("chunk_key").type), pa.array(columns[3], pa.float64())], names=["query_id", "doc_key", "chunk_key", "distance"])
 
     source = vectors.select(F.col(doc).alias("doc_key"), F.col(chunk).alias("chunk_key"), "embedding")
     schema = T.StructType([T.StructField("query_id", T.LongType()), source.schema["doc_key"], source.schema["chunk_key"], T.StructField("distance", T.DoubleType())])

@@ -499,8 +499,9 @@ def _chunks(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_key"), F.expr("vec_id div 2").alias("doc_key"), "embedding")
 
 
-def _query_vectors(spark, sf_dir):
-    rows = _table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(*QUERY_VECTORS)).select("vec_id", "embedding").collect()
+def _query_vectors(spark, sf_dir, every=False):
+    wanted = F.col("vec_id") % 20 == 0 if every else F.col("vec_id").isin(*QUERY_VECTORS)
+    rows = _table(spark, sf_dir, "embeddings").filter(wanted).select("vec_id", "embedding").collect()
     return [(r["vec_id"], list(r["embedding"])) for r in rows]
 
 
@@ -524,6 +525,22 @@ def v01_knn_cosine(spark, sf_dir):
     return _near_columns(vector.nearest(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir), 10, "cosine"))
 
 
+def _all_near_sql(metric: str) -> str:
+    return _near_sql(metric).replace("vec_id IN (0, 100, 200)", "vec_id % 20 = 0")
+
+
+@query(_all_near_sql("l2"))
+def v01_knn_l2_whole(spark, sf_dir):
+    """v01_knn_l2 for every vector whose id is divisible by 20."""
+    return _near_columns(vector.nearest(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir, every=True), 10))
+
+
+@query(_all_near_sql("cos"))
+def v01_knn_cosine_whole(spark, sf_dir):
+    """v01_knn_cosine for every vector whose id is divisible by 20."""
+    return _near_columns(vector.nearest(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir, every=True), 10, "cosine"))
+
+
 @query("""SELECT e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS l2 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q""")
 def j10_distance_expression(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings")
@@ -543,6 +560,12 @@ def v06_hash_seed(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", vector.fnv_seed(F.substring("text", 1, 20)).alias("seed"))
 
 
+@query("""SELECT item_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS seed FROM benchmark""")
+def v06_hash_seed_whole(spark, sf_dir):
+    """v06_hash_seed of whole texts, as HashEmbedder takes them."""
+    return _table(spark, sf_dir, "benchmark").select("item_id", vector.fnv_seed(F.col("text")).alias("seed"))
+
+
 @query()
 def v04_embed_chunks(spark, sf_dir):
     chunks = chunking.chunk_documents(corpus_columns(_docs(spark, sf_dir))).withColumn("prompt", X.capped(X.document_prompt(F.lit("nomic"), F.lit(None).cast("string"), F.col("text"))))
