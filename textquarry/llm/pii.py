@@ -1,14 +1,19 @@
 """Format-preserving pseudonyms of personal data (native).
 
 Matches are validated first (Luhn sum, octet range, IBAN remainder, calendar,
-number plan); whatever fails is left as it is. A valid value is permuted inside its own
-format by a keyed Feistel network over two halves of its digits (or letters),
-so the result is valid again and equal values get equal pseudonyms in all
-documents. Check digits are computed anew. Dates are permuted by day number
-within 400 years, which is the same in every notation.
-
-Defined cases: a null text stays null; separators and letter case stay in place;
-repeated rows get equal results; extra columns are ignored.
+numbers that a social security number cannot have); whatever fails is left as it
+is. A valid value is permuted inside its own format by a keyed Feistel network
+over two halves of it, so the result is valid again and equal values get equal
+pseudonyms in all documents. Check digits are computed anew. Dates are permuted
+by day number within 400 years, which is the same in every notation. Octets keep
+their number of digits. A phone number has no check beside its notation; its
+country code stays, and the first digits of area and exchange stay among 2 to 9
+or among 0 and 1, so a number that the plan allows becomes one that it allows.
+Of an IBAN the country and the letters of the bank's code stay.
+
+Defined cases: a null text stays null; separators stay in place; the local part
+of an e-mail address is written in lower case, as addresses are compared without
+case; repeated rows get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.spans import chars
+from textquarry.llm.spans import chars, once, scanned
 
 KINDS = ("email", "iban", "date", "ip", "phone", "card", "ssn")
 #: One alternative for each of KINDS.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])",
@@ -88,13 +93,23 @@ def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def refilled(value: Column, digits: Column) -> Column:
-    """value with its digits replaced in turn by those of `digits`."""
+def refilled(value: Column, fresh: Column, first: str = "0", last: str = "9") -> Column:
+    """value with its characters from first to last replaced in turn by those of `fresh`."""
     state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct((s["at"] + is_digit.cast("int")).alias("at"), F.concat(s["out"], F.when(is_digit, F.substr(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"))
+        mine = c.between(first, last)
+        return F.struct((s["at"] + mine.cast("int")).alias("at"), F.concat(s["out"], F.when(mine, F.substr(fresh, s["at"], F.lit(1))).otherwise(c)).alias("out"))
+
+    return F.aggregate(chars(value), state, step, lambda s: s["out"])
+
+
+def respaced(value: Column, plain: Column) -> Column:
+    """`plain` with the blanks of value put in."""
+    state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        return F.struct((s["at"] + (c != " ").cast("int")).alias("at"), F.concat(s["out"], F.when(c == " ", c).otherwise(F.substr(plain, s["at"], F.lit(1)))).alias("out"))
 
     return F.aggregate(chars(value), state, step, lambda s: s["out"])
 
@@ -116,30 +131,56 @@ def iban_remainder(plain: Column) -> Column:
     return F.aggregate(moved, F.lit(0), step)
 
 
-def once(value: Column, f) -> Column:
-    """f(value) with value evaluated once."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _card(v: Column, key: str) -> Column:
     return once(digits_of(v), lambda d: once(permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), lambda body: refilled(v, F.concat(body, luhn_digit(body)))))
 
 
 def _iban(v: Column, key: str) -> Column:
+    """Digits, and letters behind the bank's code, are permuted apart."""
     plain = F.replace(v, F.lit(" "), F.lit(""))
 
     def made(p: Column) -> Column:
-        rest = F.substr(p, F.lit(5))
-        fresh = once(digits_of(rest), lambda d: F.when(F.length(d) >= 2, refilled(rest, permuted_digits(d, key, "iban"))).otherwise(rest))
-        return once(fresh, lambda r: refilled(v, digits_of(F.concat(F.lpad((98 - iban_remainder(F.concat(F.substr(p, F.lit(1), F.lit(2)), F.lit("00"), r))).cast("string"), 2, "0"), r))))
+        bank, account = F.substr(p, F.lit(5), F.lit(4)), F.substr(p, F.lit(9))
+        letters = F.upper(_in_runs(F.lower(F.regexp_replace(account, "[^A-Z]", "")), 24, _shifted("a", 26, key, "iban-letters"), lambda r, tweak: permuted_letters(r, key, tweak), "iban-letters"))
+        rest = F.concat(bank, once(letters, lambda f: refilled(account, f, "A", "Z")))
+        fresh = once(rest, lambda r: once(digits_of(r), lambda d: F.when(F.length(d) >= 2, refilled(r, permuted_digits(d, key, "iban"))).otherwise(r)))
+
+        def checked(r: Column) -> Column:
+            check = F.lpad((98 - iban_remainder(F.concat(F.substr(p, F.lit(1), F.lit(2)), F.lit("00"), r))).cast("string"), 2, "0")
+            return once(F.concat(F.substr(p, F.lit(1), F.lit(2)), check, r), lambda whole: respaced(v, whole))
+
+        return once(fresh, checked)
 
     return once(plain, made)
 
 
 def _ip(v: Column, key: str) -> Column:
-    o = F.transform(F.split(v, r"\."), lambda x: x.cast("long"))
-    m = F.lit(65536).cast("long")
-    return once(feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], m, m, key, F.lit("ip")), lambda g: F.concat_ws(".", *[F.floor(g[x] / 256).cast("string") if high else F.pmod(g[x], F.lit(256)).cast("string") for x in ("a", "b") for high in (True, False)]))
+    """Octets written alike (so many digits, with or without a leading zero) are permuted among each other."""
+
+    def kind(o: Column) -> Column:
+        n = F.length(o)
+        zero = (n > 1) & o.startswith("0")
+        low = F.when(zero | (n == 1), 0).when(n == 2, 10).otherwise(100)
+        size = F.when(n == 1, 10).when(zero, F.when(n == 2, 10).otherwise(100)).when(n == 2, 90).otherwise(156)
+        return F.struct(low.cast("long").alias("low"), size.cast("long").alias("size"), n.alias("n"), o.cast("long").alias("value"))
+
+    def made(o: Column) -> Column:
+        def half(i: int) -> tuple[Column, Column]:
+            x, y = o[i], o[i + 1]
+            return (x["value"] - x["low"]) * y["size"] + y["value"] - y["low"], x["size"] * y["size"]
+
+        (a, m_a), (b, m_b) = half(0), half(2)
+
+        def spelled(number: Column, of: Column) -> Column:
+            return F.lpad((number + of["low"]).cast("string"), of["n"], "0")
+
+        def octets(g: Column) -> Column:
+            parts = [(F.floor(g["a"] / o[1]["size"]), o[0]), (F.pmod(g["a"], o[1]["size"]), o[1]), (F.floor(g["b"] / o[3]["size"]), o[2]), (F.pmod(g["b"], o[3]["size"]), o[3])]
+            return F.concat_ws(".", *[spelled(x, of) for x, of in parts])
+
+        return once(feistel(a, b, m_a, m_b, key, F.lit("ip")), octets)
+
+    return once(F.transform(F.split(v, r"\."), kind), made)
 
 
 def _day(v: Column) -> Column:
@@ -158,42 +199,65 @@ def _date(v: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    return once(digits_of(v), lambda d: refilled(v, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), permuted_digits(F.substr(d, F.length(d) - 9), key, "phone"))))
+    """The last ten digits: area and exchange as (first digit in its class, two digits), then the line."""
+
+    def made(d: Column) -> Column:
+        ten = F.substr(d, F.length(d) - 9)
+
+        def coded(at: int) -> tuple[Column, Column, Column]:
+            digit = F.substr(ten, F.lit(at), F.lit(1)).cast("long")
+            low = F.when(digit >= 2, 2).otherwise(0).cast("long")
+            size = F.when(digit >= 2, 8).otherwise(2).cast("long")
+            return (digit - low) * 100 + F.substr(ten, F.lit(at + 1), F.lit(2)).cast("long"), size * 100, low * 100
+
+        (area, areas, area_low), (exchange, exchanges, exchange_low) = coded(1), coded(4)
+        line = F.substr(ten, F.lit(7)).cast("long")
+        got = feistel(area, exchange * 10_000 + line, areas, exchanges * 10_000, key, F.lit("phone"))
+        fresh = once(got, lambda g: F.concat(F.lpad((g["a"] + area_low).cast("string"), 3, "0"), F.lpad((g["b"] + exchange_low * 10_000).cast("string"), 7, "0")))
+        return once(fresh, lambda f: refilled(v, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), f)))
+
+    return once(digits_of(v), made)
+
+
+#: A social security number: 898 areas (001 to 899 without 666), groups 01 to 99, serials 0001 to 9999.
+SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
 
 def _ssn(v: Column, key: str) -> Column:
-    return refilled(v, permuted_digits(digits_of(v), key, "ssn"))
+    def made(d: Column) -> Column:
+        area, group, serial = (F.substr(d, F.lit(at), F.lit(n)).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+        place = F.when(area > 666, area - 2).otherwise(area - 1)
+        got = feistel(place, (group - 1) * SSN_SERIALS + serial - 1, F.lit(SSN_AREAS).cast("long"), F.lit(SSN_GROUPS * SSN_SERIALS).cast("long"), key, F.lit("ssn"))
+
+        def spelled(g: Column) -> Column:
+            parts = [(F.when(g["a"] >= 665, g["a"] + 2).otherwise(g["a"] + 1), 3), (F.floor(g["b"] / SSN_SERIALS) + 1, 2), (F.pmod(g["b"], F.lit(SSN_SERIALS)) + 1, 4)]
+            return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+
+        return once(once(got, spelled), lambda f: refilled(v, f))
+
+    return once(digits_of(v), made)
 
 
-def _in_runs(value: Column, most: int, one, permuted) -> Column:
+def _in_runs(value: Column, most: int, one, permuted, tweak: str = "email") -> Column:
     """value in runs of `most` characters, each permuted among those of its length; a single character is shifted by a keyed step, never by none."""
     runs = F.regexp_extract_all(value, F.lit(f".{{1,{most}}}"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r, i: F.when(F.length(r) == 1, one(r)).otherwise(permuted(r, F.when(i == 0, "email").otherwise(F.concat(F.lit("email/"), i.cast("string"), F.lit("/")))))), "")
+    return F.array_join(F.transform(runs, lambda r, i: F.when(F.length(r) == 1, one(r)).otherwise(permuted(r, F.when(i == 0, tweak).otherwise(F.concat(F.lit(f"{tweak}/"), i.cast("string"), F.lit("/")))))), "")
 
 
-def _shifted(first: str, size: int, key: str):
+def _shifted(first: str, size: int, key: str, tweak: str = "email"):
     """A function that moves one character among the `size` from `first` on by a step of 1 to size - 1."""
-    step = F.pmod(F.conv(F.substring(F.sha2(F.lit(f"{key}:email:one:{first}"), 256), 1, 15), 16, 10).cast("long"), F.lit(size - 1)) + 1
+    step = F.pmod(F.conv(F.substring(F.sha2(F.lit(f"{key}:{tweak}:one:{first}"), 256), 1, 15), 16, 10).cast("long"), F.lit(size - 1)) + 1
     return lambda c: F.char(F.pmod(F.ascii(c) - ord(first) + step, F.lit(size)) + ord(first))
 
 
 def _email(v: Column, key: str) -> Column:
-    """Letters and digits of the local part are permuted apart, in runs of 24 and 36; a run of one joins a fixed keyed shift."""
+    """Letters and digits of the local part, in lower case, are permuted apart, in runs of 24 and 36; a run of one joins a fixed keyed shift."""
     low = F.lower(F.substring_index(v, "@", 1))
 
-    def refill_letters(s: Column, fresh: Column) -> Column:
-        state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-
-        def step(t: Column, c: Column) -> Column:
-            is_letter = c.between("a", "z")
-            return F.struct((t["at"] + is_letter.cast("int")).alias("at"), F.concat(t["out"], F.when(is_letter, F.substr(fresh, t["at"], F.lit(1))).otherwise(c)).alias("out"))
-
-        return F.aggregate(chars(s), state, step, lambda t: t["out"])
-
     letters = _in_runs(F.regexp_replace(low, "[^a-z]", ""), 24, _shifted("a", 26, key), lambda r, tweak: permuted_letters(r, key, tweak))
     digits = _in_runs(digits_of(low), 36, _shifted("0", 10, key), lambda r, tweak: permuted_digits(r, key, tweak))
     with_digits = once(digits, lambda d: refilled(low, d))
-    return F.concat(once(letters, lambda f: refill_letters(with_digits, f)), F.lit("@"), F.substring_index(v, "@", -1))
+    return F.concat(once(letters, lambda f: refilled(with_digits, f, "a", "z")), F.lit("@"), F.substring_index(v, "@", -1))
 
 
 def kind_of(v: Column) -> Column:
@@ -249,20 +313,20 @@ def found_at_starts(text: Column) -> Column:
             return F.struct(F.get(pieces, i + before).alias("piece"), got.alias("got"))
 
         head = F.when(before > 0, F.get(pieces, F.lit(0))).otherwise(F.lit(""))
-        empty = F.expr("cast(array() as array<struct<value:string,kind:string>>)")
+        kind = "struct<value:string,kind:string>"
 
         def literal(v: Column) -> Column:
             return F.struct(v.alias("value"), F.lit(None).cast("string").alias("kind"))
 
-        def step(state: Column, p: Column) -> Column:
-            taken = (state["over"] <= 0) & p["got"].isNotNull()
-            over = F.when(taken, F.length(p["got"]["value"])).otherwise(F.greatest(state["over"], F.lit(0)))
+        def step(left: Column, p: Column) -> tuple[Column, Column]:
+            taken = (left <= 0) & p["got"].isNotNull()
+            over = F.when(taken, F.length(p["got"]["value"])).otherwise(F.greatest(left, F.lit(0)))
             rest = literal(F.substr(p["piece"], over + 1))
-            added = F.when(taken, F.array(F.struct(p["got"]["value"].alias("value"), p["got"]["kind"].alias("kind")), rest)).otherwise(F.array(rest))
-            return F.struct((over - F.length(p["piece"])).cast("int").alias("over"), F.concat(state["out"], added).alias("out"))
+            out = F.when(taken, F.array(F.struct(p["got"]["value"].alias("value"), p["got"]["kind"].alias("kind")), rest)).otherwise(F.array(rest))
+            return (over - F.length(p["piece"])).cast("int"), out
 
-        spans = F.transform(starts, best)
-        return F.aggregate(spans, F.struct(F.lit(0).alias("over"), F.concat(empty, F.array(literal(head))).alias("out")), step, lambda s: s["out"])
+        found = F.flatten(scanned(F.transform(starts, best), F.lit(0), step, f"array<{kind}>"))
+        return F.concat(F.array(literal(head)), found)
 
     starts = F.arrays_zip(greedy.alias("value"), windows.alias("window"))
     return once(pieces, lambda p: once(starts, lambda s: placed(p, s)))
