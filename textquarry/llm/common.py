@@ -82,6 +82,11 @@ def running(df: DataFrame, within: list[str], bucket: list[str], order: list[Col
     return own.select(*df.columns, *[(F.col(f"__b_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(k) for k, v in cast.items()])
 
 
+def drawn_unit(*key: Column | str) -> Column:
+    """A number from 0 to under 1, by the hash of the key."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 52)) / float(1 << 52)
+
+
 def permuted(index: Column, n: Column, key: list[Column], walks: int = 24) -> Column:
     """A keyed pseudorandom permutation of 0..n-1, as an expression.
 

@@ -10,7 +10,7 @@ from textquarry.llm.common import table
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "start")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "start", "first_shard", "first_slot")
 
 
 def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
