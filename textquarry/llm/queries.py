@@ -26,9 +26,10 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.labelled_samples(spark))
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.train(secrets.labelled_samples(spark).unionByName(secrets.corpus_samples(docs)))
     spans = F.col("spans")
-    found = secrets.scan(table(spark, sf_dir, "documents"), model)
+    found = secrets.scan(docs, model)
     base = F.filter(spans, lambda s: s["kind_no"] < 3)
 
     def found_of(no: int, kind: str) -> Column:

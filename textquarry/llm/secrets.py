@@ -4,11 +4,15 @@ Base rules find assignments to secret-like names, access ids and long
 hexadecimal runs. Beside them, every token of 20 or more characters of the
 base-64 alphabets is scored: the log-likelihood ratio of its character bigrams
 under a model of random strings and one of ordinary identifiers. Both models
-are smoothed bigram counts over labelled samples. Tokens that overlap a base
-span are not reported again; base spans always stay.
+are smoothed bigram counts over distinct labelled samples: strings made by rule,
+and, from a bounded sample of the corpus, the long values that base rules find
+against the long words outside them. The kinds are independent: a token judged
+random is reported whether or not a base span covers it, which tells a random
+value of an assignment from a placeholder; base spans always stay.
 
 Defined cases: a null text is an empty one and has no spans; ties are ordered by
-start, then kind; repeated rows get equal spans; extra columns are ignored.
+start, then kind; repeated rows get equal spans; an empty table gives an empty
+result, and a model of the strings made by rule alone; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.llm.common import drawn_unit
 from textquarry.llm.spans import chars, match_spans
 
 #: The patterns of the base rules.
@@ -30,6 +35,9 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0 stands before the first character
 THRESHOLD = 10.0
+#: Documents, on average, that the corpus sample holds at most; tokens of this many characters count as long words in it.
+SAMPLE_DOCS = 4000
+LONG = r"[A-Za-z0-9+/_=-]{10,}+"
 #: Parts of ordinary identifiers.
 PARTS = (
     "get set add new old max min num all any user name item list file path line data time date size type code text word page host port node edge tree hash key "
@@ -53,10 +61,27 @@ def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
 
     parts = [part(n) for n in range(4)]
     camel = F.concat(parts[0], *[F.initcap(p) for p in parts[1:]])
-    ordinary = F.when(F.col("id") % 5 == 0, F.concat_ws("_", *parts)).when(F.col("id") % 5 == 1, camel).when(F.col("id") % 5 == 2, F.concat_ws("-", *parts)).when(F.col("id") % 5 == 3, F.upper(F.concat_ws("_", *parts))).otherwise(F.concat(*parts))
+    styles = [F.concat(*parts), F.concat_ws("_", *parts), camel, F.concat_ws("-", *parts), F.upper(F.concat_ws("_", *parts)), F.concat_ws("/", *parts)]
+    ordinary = styles[0]
+    for i, style in enumerate(styles[1:], 1):
+        ordinary = F.when(F.col("id") % len(styles) == i, style).otherwise(ordinary)
     return ids.select(random.alias("text"), F.lit(True).alias("is_random")).unionByName(ids.select(ordinary.alias("text"), F.lit(False).alias("is_random")))
 
 
+def corpus_samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
+    """text, is_random: of about `most` documents at most, drawn by hash, the long values that base rules find and the long words outside them."""
+    share = most / max(1, docs.count())
+    some = docs.filter(drawn_unit("doc_id", F.lit("secrets")) < share).select(F.col("text").cast("string").alias("text")).filter("text is not null")
+
+    def all_of(text: Column, pattern: str, group: int = 0) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    values = F.concat(all_of(F.col("text"), ASSIGN, 2), all_of(F.col("text"), ACCESS), all_of(F.col("text"), HEX))
+    rest = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    secret = some.select(F.explode(F.filter(values, lambda v: F.length(v) >= 20)).alias("text"), F.lit(True).alias("is_random"))
+    return secret.unionByName(some.select(F.explode(all_of(rest, LONG)).alias("text"), F.lit(False).alias("is_random")))
+
+
 def bigrams(token: Column) -> Column:
     """Codes (before * STATES + after) of a token's character pairs, the start among them."""
     letters = chars(token)
@@ -66,7 +91,7 @@ def bigrams(token: Column) -> Column:
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios (random over ordinary) by bigram code; at most STATES squared counts come to the driver."""
-    pairs = samples.filter("text is not null and text <> ''").select("is_random", F.explode(bigrams(F.col("text"))).alias("code"))
+    pairs = samples.filter("text is not null and text <> ''").distinct().select("is_random", F.explode(bigrams(F.col("text"))).alias("code"))
     counts = {(r["is_random"], r["code"]): r["n"] for r in pairs.groupBy("is_random", "code").agg(F.count("*").alias("n")).collect()}
     out = [0.0] * (STATES * STATES)
     for a in range(STATES):
@@ -94,7 +119,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
         return F.transform(F.col(column), lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), s["value"].alias("value")))
 
     found = found.withColumn("base", F.concat(tagged("assign", 0), tagged("access", 1), tagged("hex", 2)))
-    scored = F.filter(F.col("tokens"), lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (ratio(t["value"], model) > threshold))
+    scored = F.filter(F.col("tokens"), lambda t: ratio(t["value"], model) > threshold)
     found = found.withColumn("markov", F.when(F.size("tokens") > 0, scored).otherwise(F.col("tokens")))
     return found.select("doc_id", F.array_sort(F.concat(F.col("base"), tagged("markov", 3))).alias("spans"))
 
