@@ -11,7 +11,7 @@ SF = f"{DATA}/sf0.001"
 
 
 def test_seed_of_whole_texts(spark):
-    got = {r["item_id"]: r["seed"] for r in q.v06_hash_seed_whole(spark, SF).collect()}
+    got = {r["item_id"]: r["seed"] for r in q.v06_hash_seed(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
         seed = 2166136261
         for byte in r["text"].encode():
@@ -24,7 +24,7 @@ def test_every_twentieth_vector_is_searched(spark, block, monkeypatch):
     monkeypatch.setattr(vector, "QUERY_BLOCK", block)
     rows = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     got = {}
-    for r in q.v01_knn_l2_whole(spark, SF).collect():
+    for r in q.v01_knn_l2(spark, SF).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["doc_key"]
     assert sorted(got) == [i for i in sorted(rows) if i % 20 == 0]
     for i, ranks in got.items():

@@ -35,17 +35,17 @@ def folder(spark, tmp_path_factory):
 
 def test_titles_of_every_document(spark, folder):
     at, rows = folder
-    got = {r["doc_id"]: r["title"] for r in q.f03_titles_whole(spark, at).collect()}
+    got = {r["doc_id"]: r["title"] for r in q.f03_titles(spark, at).collect()}
     assert got == {i: _title(f"---\ntags: x\n---\n\n# {t.split('.')[0]}\n{t}" if i % 3 == 0 else t, str(i)) for i, t in rows}
 
 
 def test_front_matter_of_every_document(spark, folder):
     at, rows = folder
     before = ("---\na: 1\n---\n", "+++\na = 1\n+++\n\n", "---\nunclosed", "")
-    got = {r["doc_id"]: r["n_chars"] for r in q.f05_frontmatter_whole(spark, at).collect()}
+    got = {r["doc_id"]: r["n_chars"] for r in q.f05_frontmatter(spark, at).collect()}
     assert got == {i: len(_stripped(before[i % 4] + t)) for i, t in rows}
 
 
-@pytest.mark.parametrize("name", ["x11_rerank_whole", "x12_blend_whole"])
+@pytest.mark.parametrize("name", ["x11_rerank", "x12_blend"])
 def test_every_row_is_reranked(spark, name):
     assert q.queries()[name](spark, f"{DATA}/sf0.001").count() == spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet").count()

@@ -87,7 +87,7 @@ def code_title(content: Column, path: Column) -> Column:
 
 def title(content: Column, path: Column) -> Column:
     """Symbol of a source file, else the first top heading of the body, else the file's stem."""
-    heading = F.nullif(F.regexp_extract(strip_frontmatter(content), r"(?m)^[ \t]*# [ \t]*(\S[^\n]*?)[ \t\r]*$", 1), F.lit(""))
+    heading = F.nullif(F.regexp_extract(strip_frontmatter(content), r"(?md)^[ \t]*# [ \t]*(\S[^\n]*?)[ \t\r]*$", 1), F.lit(""))
     return F.coalesce(F.nullif(code_title(content, path), F.lit("")), heading, stem(path))
 
 

@@ -1,4 +1,4 @@
-"""Ranking quality: precision and recall at k, reciprocal rank, macro averages."""
+"""Ranking quality: P@k, R@k, reciprocal rank, macro averages."""
 
 from __future__ import annotations
 
@@ -61,6 +61,19 @@ def metrics(retrieved: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS
     return both.select("query_id", *columns, F.when(first > 0, 1.0 / first).otherwise(0.0).alias("mrr"))
 
 
+def metrics_of_pairs(retrieved: DataFrame, relevant: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """metrics of rows (query_id, rank, item) by rows (query_id, item); no query's relevant items are gathered in one place."""
+    hits = retrieved.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
+    known = relevant.select("query_id", "item").distinct()
+    totals = known.groupBy("query_id").agg(F.count("*").alias("all"))
+    good = hits.join(known, ["query_id", "item"], "left_semi")
+    found = good.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"in_{k}") for k in cuts], F.min("rank").alias("first"))
+    both = totals.join(found, "query_id", "left")
+    inside = {k: F.coalesce(F.col(f"in_{k}"), F.lit(0)) for k in cuts}
+    columns = [(inside[k] / F.lit(float(k))).alias(f"p_at_{k}") for k in cuts] + [(inside[k] / F.col("all")).alias(f"r_at_{k}") for k in cuts if k > 1]
+    return both.select("query_id", *columns, F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
 def summary(per_query: DataFrame) -> DataFrame:
     """Macro averages, to three places."""
     return per_query.agg(*[F.round(F.avg(c), 3).alias(c) for c in per_query.columns if c != "query_id"])

@@ -20,7 +20,6 @@ _SQL: dict[str, str] = {}
 
 TERMS = ("with", "re")
 SEARCHES = [(1, "with re"), (2, "with -er"), (3, "er on"), (4, '"of the"')]
-QUERY_VECTORS = (0, 100, 200)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -72,18 +71,19 @@ def s04_corpus_scan(spark, sf_dir):
     return _corpus(spark, sf_dir).select("doc_key", "collection", "path", F.length("content").cast("long").alias("n_chars"), "doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(nullif(regexp_extract(split_part(text, '.', 1), '^([^\n]*?)[ \t\r]*$', 1), ''), doc_id::VARCHAR) ELSE doc_id::VARCHAR END AS title
-FROM documents WHERE split_part(text, '.', 1) NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%# %' AND text NOT LIKE '---%' AND text NOT LIKE ' %'""")
-def f03_titles(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("first", F.split_part("text", F.lit("."), F.lit(1)))
-    docs = docs.filter(~F.contains("first", F.lit("\n")) & ~F.contains("text", F.lit("# ")) & ~F.startswith("text", F.lit("---")) & ~F.startswith("text", F.lit(" ")))
-    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\ntags: x\n---\n\n# "), "first", F.lit("\n"), "text")).otherwise(F.col("text"))
-    return docs.select("doc_id", X.title(content, F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("title"))
+def _body_sql(content: str) -> str:
+    """CTEs up to body (doc_id, b): content without a closed leading block between --- or +++ lines."""
+    return rf"""src AS (SELECT doc_id, {content} AS s FROM documents), lead_ AS (SELECT *, regexp_replace(s, '\A[ \t\r\n]*', '') AS t FROM src),
+mark_ AS (SELECT *, CASE WHEN regexp_matches(t, '\A(---|\+\+\+)\r?\n') THEN left(t, 3) END AS mark, regexp_replace(substr(t, 4), '\A[\r\n]*', '') AS rest FROM lead_),
+body AS (SELECT doc_id, CASE WHEN mark IS NULL OR instr(rest, chr(10) || mark) = 0 THEN s ELSE regexp_replace(substr(rest, instr(rest, chr(10) || mark) + 4), '\A[\r\n]*', '') END AS b FROM mark_)"""
 
 
-@query()
-def f03_titles_whole(spark, sf_dir):
-    """f03_titles over every document, those included whose text is more than SQL follows."""
+_TITLED = "CASE WHEN doc_id % 3 = 0 THEN '---' || chr(10) || 'tags: x' || chr(10) || '---' || chr(10) || chr(10) || '# ' || split_part(text, '.', 1) || chr(10) || text ELSE text END"
+
+
+@query(rf"WITH {_body_sql(_TITLED)} SELECT doc_id, coalesce(nullif(regexp_extract(b, '(?m)^[ \t]*# [ \t]*(\S[^\n]*?)[ \t\r]*$', 1), ''), doc_id::VARCHAR) AS title FROM body")
+def f03_titles(spark, sf_dir):
+    """Titles of all documents, every third one with front matter and a heading put before it."""
     docs = _docs(spark, sf_dir)
     first = F.split_part("text", F.lit("."), F.lit(1))
     content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\ntags: x\n---\n\n# "), first, F.lit("\n"), "text")).otherwise(F.col("text"))
@@ -112,18 +112,12 @@ def f04_code_titles(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", X.code_title(content, path).alias("title"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN length(text) WHEN 1 THEN length(text) WHEN 2 THEN length(text) + 12 ELSE length(text) END AS n_chars FROM documents
-WHERE text NOT LIKE '%---%' AND text NOT LIKE '%+++%' AND NOT starts_with(text, chr(10)) AND NOT starts_with(text, chr(13))""")
-def f05_frontmatter(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter(~F.contains("text", F.lit("---")) & ~F.contains("text", F.lit("+++")) & ~F.startswith("text", F.lit("\n")) & ~F.startswith("text", F.lit("\r")))
-    k = F.col("doc_id") % 4
-    content = F.when(k == 0, F.concat(F.lit("---\na: 1\n---\n"), "text")).when(k == 1, F.concat(F.lit("+++\na = 1\n+++\n\n"), "text")).when(k == 2, F.concat(F.lit("---\nunclosed"), "text")).otherwise(F.col("text"))
-    return docs.select("doc_id", F.length(X.strip_frontmatter(content)).cast("long").alias("n_chars"))
+_FRONTED = "CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'a: 1' || chr(10) || '---' || chr(10) || text WHEN 1 THEN '+++' || chr(10) || 'a = 1' || chr(10) || '+++' || chr(10) || chr(10) || text WHEN 2 THEN '---' || chr(10) || 'unclosed' || text ELSE text END"
 
 
-@query()
-def f05_frontmatter_whole(spark, sf_dir):
-    """f05_frontmatter over every document, those with delimiters or leading line ends of their own included."""
+@query(f"WITH {_body_sql(_FRONTED)} SELECT doc_id, length(b) AS n_chars FROM body")
+def f05_frontmatter(spark, sf_dir):
+    """Lengths without front matter, of which three kinds are put before the texts."""
     k = F.col("doc_id") % 4
     content = F.when(k == 0, F.concat(F.lit("---\na: 1\n---\n"), "text")).when(k == 1, F.concat(F.lit("+++\na = 1\n+++\n\n"), "text")).when(k == 2, F.concat(F.lit("---\nunclosed"), "text")).otherwise(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.length(X.strip_frontmatter(content)).cast("long").alias("n_chars"))
@@ -147,10 +141,11 @@ def f08_token_estimates(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(l_linenumber * 10.0 * (1 - power(least(greatest(CAST(l_quantity AS DOUBLE) / 40, 0), 1), 2) * 0.7), 6) AS score FROM lineitem""")
+@query("""WITH s AS (SELECT *, least(greatest(CAST(l_quantity AS DOUBLE) / 40, 0), 1) AS share FROM lineitem) SELECT l_orderkey, l_linenumber, l_linenumber * 10::DOUBLE * (1 - share * share * 0.7::DOUBLE) AS score FROM s""")
 def f09_break_scores(spark, sf_dir):
+    """Unrounded: both sides compute the same numbers, while rounding them meets ties."""
     score = X.break_score(F.col("l_linenumber") * 10.0, F.col("l_quantity"), F.lit(40.0))
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"))
 
 
 _MARKED = """marked AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS n FROM (SELECT doc_id, string_split(CASE doc_id % 5 WHEN 0 THEN '# Top' || chr(10) || '- item' || chr(10) || text WHEN 1 THEN '---' || chr(10) || '12. x' || chr(10) || '### Deep' || chr(10) || text ELSE text END, chr(10)) AS lines FROM documents))"""
@@ -492,16 +487,16 @@ def t07_snippets(spark, sf_dir):
 # --- vector search
 
 _NEAR = """near AS (SELECT q.vec_id AS query_id, e.vec_id // 2 AS doc_key, e.vec_id AS chunk_key, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS l2, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS cos
-FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (0, 100, 200)) q)"""
+FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"""
 
 
 def _chunks(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_key"), F.expr("vec_id div 2").alias("doc_key"), "embedding")
 
 
-def _query_vectors(spark, sf_dir, every=False):
-    wanted = F.col("vec_id") % 20 == 0 if every else F.col("vec_id").isin(*QUERY_VECTORS)
-    rows = _table(spark, sf_dir, "embeddings").filter(wanted).select("vec_id", "embedding").collect()
+def _query_vectors(spark, sf_dir):
+    """The query set: every vector whose id is divisible by 20."""
+    rows = _table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 20 == 0).select("vec_id", "embedding").collect()
     return [(r["vec_id"], list(r["embedding"])) for r in rows]
 
 
@@ -525,22 +520,6 @@ def v01_knn_cosine(spark, sf_dir):
     return _near_columns(vector.nearest(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir), 10, "cosine"))
 
 
-def _all_near_sql(metric: str) -> str:
-    return _near_sql(metric).replace("vec_id IN (0, 100, 200)", "vec_id % 20 = 0")
-
-
-@query(_all_near_sql("l2"))
-def v01_knn_l2_whole(spark, sf_dir):
-    """v01_knn_l2 for every vector whose id is divisible by 20."""
-    return _near_columns(vector.nearest(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir, every=True), 10))
-
-
-@query(_all_near_sql("cos"))
-def v01_knn_cosine_whole(spark, sf_dir):
-    """v01_knn_cosine for every vector whose id is divisible by 20."""
-    return _near_columns(vector.nearest(_chunks(spark, sf_dir), _query_vectors(spark, sf_dir, every=True), 10, "cosine"))
-
-
 @query("""SELECT e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS l2 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q""")
 def j10_distance_expression(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings")
@@ -555,14 +534,9 @@ def v01_knn_filtered(spark, sf_dir):
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_key", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT item_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(regexp_extract_all(hex(encode(left(text, 20))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS seed FROM benchmark""")
-def v06_hash_seed(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select("item_id", vector.fnv_seed(F.substring("text", 1, 20)).alias("seed"))
-
-
 @query("""SELECT item_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS seed FROM benchmark""")
-def v06_hash_seed_whole(spark, sf_dir):
-    """v06_hash_seed of whole texts, as HashEmbedder takes them."""
+def v06_hash_seed(spark, sf_dir):
+    """The seed of whole texts, as HashEmbedder takes it."""
     return _table(spark, sf_dir, "benchmark").select("item_id", vector.fnv_seed(F.col("text")).alias("seed"))
 
 
@@ -574,7 +548,8 @@ def v04_embed_chunks(spark, sf_dir):
 
 # --- fusion, expansion, rerank, evaluation
 
-_LISTS = f"""{_BM25}, {_NEAR}, c AS (SELECT doc_id, source AS collection, lang || '/' || doc_id || '.md' AS path FROM documents),
+_ONE_NEAR = _NEAR.replace("vec_id % 20 = 0", "vec_id = 0")
+_LISTS = f"""{_BM25}, {_ONE_NEAR}, c AS (SELECT doc_id, source AS collection, lang || '/' || doc_id || '.md' AS path FROM documents),
 lex1 AS (SELECT * FROM (SELECT collection, path, score, row_number() OVER (ORDER BY score DESC, collection, path) AS rank FROM ({_and_sql(TERMS)}) JOIN c USING (doc_id)) WHERE rank <= 40),
 lex2 AS (SELECT * FROM (SELECT collection, path, score, row_number() OVER (ORDER BY score DESC, collection, path) AS rank FROM ({_and_sql(('er',))}) JOIN c USING (doc_id)) WHERE rank <= 40),
 vec AS (SELECT collection, path, rank, 1 / (1 + distance) AS score FROM (SELECT doc_key, min(l2) AS distance, row_number() OVER (ORDER BY min(l2), doc_key) AS rank FROM near JOIN c ON c.doc_id = doc_key WHERE query_id = 0 GROUP BY doc_key) JOIN c ON c.doc_id = doc_key WHERE rank <= 40)"""
@@ -631,55 +606,50 @@ def k05_file_rows(spark, sf_dir):
     return sinks.file_rows(fusion.fuse(one, near).withColumn("score", F.col("fused_score"))).select(F.col("rank").cast("long").alias("rank"), "value")
 
 
-@query("""WITH a AS (SELECT conv_id AS query_id, text AS query, 'lex: ' || left(text, 30) || chr(10) || 'LEX: zzzz qqqq' || chr(10) || ' vec : about ' || conv_id || chr(10) || 'hyde:passage' || chr(10) || 'other: no' || chr(10) || 'vec:' AS answer FROM conversations WHERE turn = 0)
-SELECT query_id, 'vec' AS kind, 'about ' || query_id AS content FROM a UNION ALL SELECT query_id, 'hyde', 'passage' FROM a""")
-def x08_parse_variants(spark, sf_dir):
-    turns = _table(spark, sf_dir, "conversations").filter("turn = 0")
-    answer = F.concat(F.lit("lex: "), F.substring("text", 1, 30), F.lit("\nLEX: zzzz qqqq\n vec : about "), F.col("conv_id").cast("string"), F.lit("\nhyde:passage\nother: no\nvec:"))
-    rows = expansion.variants(turns.select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"), answer.alias("answer")))
-    return rows.filter("kind <> 'lex'").select("query_id", "kind", "content")
+_SHORT = r"regexp_replace(left(text, 30), '[\x09-\x0D]', ' ', 'g')"
 
 
-_LOGITS = "h AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS rank, CAST(l_quantity AS DOUBLE) AS logit FROM lineitem WHERE l_orderkey % 3 = 0)"
-_NORMAL = f"{_LOGITS}, b AS (SELECT *, min(CASE WHEN rank <= 4 THEN logit END) OVER w AS lo, max(CASE WHEN rank <= 4 THEN logit END) OVER w AS hi, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY query_id)), s AS (SELECT *, CASE WHEN rank > 4 OR hi = lo THEN 0.5::DOUBLE ELSE (logit - lo) / (hi - lo) END AS rerank_score FROM b)"
+@query(rf"""WITH a AS (SELECT conv_id * 1000 + turn AS query_id, text AS query, trim({_SHORT}) AS lex FROM conversations),
+w AS (SELECT query_id, lex, regexp_split_to_array(regexp_replace(lower(lex), '[^a-z0-9 \t]', ' ', 'g'), '[ \t]+') AS c, list_filter(regexp_split_to_array(regexp_replace(lower(query), '[^a-z0-9 \t]', ' ', 'g'), '[ \t]+'), lambda x: length(x) > 1) AS q FROM a)
+SELECT query_id, 'vec' AS kind, 'about ' || query_id AS content FROM a UNION ALL SELECT query_id, 'hyde', 'passage' FROM a UNION ALL SELECT query_id, 'lex', lex FROM w WHERE lex <> '' AND list_has_any(c, q)
+UNION ALL SELECT query_id, 'lex', 'zzzz qqqq' FROM w WHERE list_has_any(['zzzz', 'qqqq'], q)""")
+def x08_parse_variants(spark, sf_dir):
+    """Answers made for every turn: a lexical variant of its own words, one of others, a vector and a document variant, and lines that do not count."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    short = F.regexp_replace(F.substring("text", 1, 30), r"[\x09-\x0D]", " ")
+    answer = F.concat(F.lit("lex: "), short, F.lit("\nLEX: zzzz qqqq\n vec : about "), F.col("query_id").cast("string"), F.lit("\nhyde:passage\nother: no\nvec:"))
+    rows = expansion.variants(turns.select("query_id", F.col("text").alias("query"), answer.alias("answer")))
+    return rows.select("query_id", "kind", "content")
 
 
-_ALL_NORMAL = _NORMAL.replace(" WHERE l_orderkey % 3 = 0", "")
+_LOGITS = "h AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS rank, CAST(l_quantity AS DOUBLE) AS logit FROM lineitem)"
+_NORMAL = f"{_LOGITS}, b AS (SELECT *, min(CASE WHEN rank <= 4 THEN logit END) OVER w AS lo, max(CASE WHEN rank <= 4 THEN logit END) OVER w AS hi, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY query_id)), s AS (SELECT *, CASE WHEN rank > 4 OR hi = lo THEN 0.5::DOUBLE ELSE (logit - lo) / (hi - lo) END AS rerank_score FROM b)"
 
 
-def _logits(spark, sf_dir, every=False):
+def _logits(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem")
-    rows = rows if every else rows.filter("l_orderkey % 3 = 0")
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
     return rows.select(F.col("l_orderkey").alias("query_id"), rank.alias("rank"), F.col("l_quantity").cast("double").alias("logit"))
 
 
-@query(f"WITH {_NORMAL} SELECT query_id, rank AS first_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank, round(rerank_score, 6) AS rerank_score FROM s")
+@query(f"WITH {_NORMAL} SELECT query_id, rank AS first_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank, rerank_score FROM s")
 def x11_rerank(spark, sf_dir):
     got = rerank.reranked(_logits(spark, sf_dir), top=4)
-    return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.col("rank").cast("long").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
-
-
-@query(f"WITH {_ALL_NORMAL} SELECT query_id, rank AS first_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank, round(rerank_score, 6) AS rerank_score FROM s")
-def x11_rerank_whole(spark, sf_dir):
-    """x11_rerank over every row of lineitem."""
-    got = rerank.reranked(_logits(spark, sf_dir, every=True), top=4)
-    return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.col("rank").cast("long").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
+    return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.col("rank").cast("long").alias("rank"), "rerank_score")
 
 
 @query(f"""WITH {_NORMAL}, m AS (SELECT *, CASE WHEN rank <= 3 THEN 0.75::DOUBLE WHEN rank <= 10 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w FROM s), x AS (SELECT *, w * (CASE WHEN n > 1 THEN 1 - (rank - 1)::DOUBLE / (n - 1) ELSE 1 END) + (1 - w) * rerank_score AS blended FROM m)
-SELECT query_id, rank AS first_rank, round(blended, 6) AS blended_score FROM x""")
+SELECT query_id, rank AS first_rank, blended AS blended_score FROM x""")
 def x12_blend(spark, sf_dir):
+    """Scores unrounded: both sides compute the same numbers, while rounding them meets ties."""
     got = rerank.blended(_logits(spark, sf_dir), top=4)
-    return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.round("blended_score", 6).alias("blended_score"))
+    return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), "blended_score")
 
 
-@query(f"""WITH {_ALL_NORMAL}, m AS (SELECT *, CASE WHEN rank <= 3 THEN 0.75::DOUBLE WHEN rank <= 10 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w FROM s), x AS (SELECT *, w * (CASE WHEN n > 1 THEN 1 - (rank - 1)::DOUBLE / (n - 1) ELSE 1 END) + (1 - w) * rerank_score AS blended FROM m)
-SELECT query_id, rank AS first_rank, round(blended, 6) AS blended_score FROM x""")
-def x12_blend_whole(spark, sf_dir):
-    """x12_blend over every row of lineitem."""
-    got = rerank.blended(_logits(spark, sf_dir, every=True), top=4)
-    return got.select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.round("blended_score", 6).alias("blended_score"))
+def _good(spark, sf_dir, query_ids):
+    """query_id, item: documents of good quality, which count as relevant to each of these queries."""
+    good = _table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("item"))
+    return good.withColumn("query_id", F.explode(F.array(*[F.lit(i).cast("long") for i in query_ids])))
 
 
 @query(f"""WITH {_BM25}, q(query_id, term) AS (VALUES (1, 'with'), (3, 'er'), (5, 'zzzz')),
@@ -690,10 +660,7 @@ SELECT q.query_id::BIGINT AS query_id, round(coalesce(sum(good) FILTER (rank <=
 def x17_metrics(spark, sf_dir):
     """Documents of good quality count as relevant to every query."""
     hits = _search(spark, sf_dir, [(1, "with"), (3, "er"), (5, "zzzz")], limit=10)
-    got = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_key").cast("string").alias("d")))).alias("h")).select("query_id", F.transform("h", lambda x: x["d"]).alias("retrieved"))
-    relevant = _table(spark, sf_dir, "labels").filter("quality = 1").agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant"))
-    qrels = spark.createDataFrame([(1,), (3,), (5,)], "query_id long").crossJoin(relevant)
-    rows = evaluation.metrics(got, qrels)
+    rows = evaluation.metrics_of_pairs(hits.select("query_id", "rank", F.col("doc_key").alias("item")), _good(spark, sf_dir, [1, 3, 5]))
     return rows.select("query_id", F.round("p_at_5", 6).alias("p_at_5"), F.round("r_at_10", 6).alias("r_at_10"), F.round("mrr", 6).alias("mrr"))
 
 
@@ -705,10 +672,8 @@ SELECT round(avg(p1), 3) AS p_at_1, round(avg(p5), 3) AS p_at_5, round(avg(p10),
 def a10_macro_averages(spark, sf_dir):
     asked = [(1, "with"), (2, "re"), (3, "er"), (4, "on")]
     hits = _search(spark, sf_dir, asked, limit=10)
-    got = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_key").cast("string").alias("d")))).alias("h")).select("query_id", F.transform("h", lambda x: x["d"]).alias("retrieved"))
-    relevant = _table(spark, sf_dir, "labels").filter("quality = 1").agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant"))
-    qrels = spark.createDataFrame([(i,) for i, _ in asked], "query_id long").crossJoin(relevant)
-    return evaluation.summary(evaluation.metrics(got, qrels)).select("p_at_1", "p_at_5", "p_at_10", "mrr")
+    rows = evaluation.metrics_of_pairs(hits.select("query_id", "rank", F.col("doc_key").alias("item")), _good(spark, sf_dir, [i for i, _ in asked]))
+    return evaluation.summary(rows).select("p_at_1", "p_at_5", "p_at_10", "mrr")
 
 
 @query()
