@@ -110,3 +110,45 @@ def permuted(index: Column, n: Column, key: list[Column], walks: int = 24) -> Co
         return F.aggregate(F.array(*[F.lit(i) for i in range(2)]), start, half, lambda s: s["a"] * s["q"] + s["b"])
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(walks)), once(index.cast("long")), lambda x, _: F.when(x >= n, once(x)).otherwise(x))
+
+
+#: Keys that hold at least one in so many of all rows are heavy; there are at most so many of them.
+HEAVY_SHARE = 8192
+
+
+def key_joined(rows: DataFrame, keys: DataFrame, on: str, total: int) -> DataFrame:
+    """rows with the columns of keys: one row for each value of `on`, with n, how many rows hold it; total is the number of all rows.
+
+    Heavy keys, at most HEAVY_SHARE of them whatever the input, go to all tasks,
+    so rows that hold them are never dealt out by key. A key that is left holds
+    so few rows that a task can take them.
+    """
+    least = max(1, total // HEAVY_SHARE)
+    heavy, light = keys.filter(F.col("n") >= least), keys.filter(F.col("n") < least)
+    columns = [*rows.columns, *[c for c in keys.columns if c not in (on, "n")]]
+    few = rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light.hint("shuffle_merge"), on).select(*columns)
+    return rows.join(F.broadcast(heavy), on).select(*columns).unionByName(few)
+
+
+def semi_joined(rows: DataFrame, keys: DataFrame, on: str, total: int) -> DataFrame:
+    """The rows whose key `on` is among keys (on, n), as key_joined joins them."""
+    return key_joined(rows, keys.select(on, "n"), on, total)
+
+
+FILTER_BITS = 26
+
+
+def maybe_among(rows: DataFrame, key: Column, ids: DataFrame, name: str) -> DataFrame:
+    """rows with a column `name`: false only if the key (a long that is not null) is not in the first column of ids.
+
+    A bitmap of 2 ** FILTER_BITS bits, whatever the number of ids, goes to all
+    tasks: 8 MB at most. What it lets through by chance a join must drop.
+    """
+    slot = F.pmod(F.xxhash64(F.col(ids.columns[0]), F.lit("filter")), F.lit(1 << FILTER_BITS))
+    marks = ids.groupBy(F.bitmap_bucket_number(slot).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
+    place = F.pmod(F.xxhash64(key, F.lit("filter")), F.lit(1 << FILTER_BITS))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    seen = rows.withColumns({"__part": F.bitmap_bucket_number(place), "__at": at}).join(F.broadcast(marks), "__part", "left")
+    hit = F.coalesce(F.getbit(byte, F.pmod("__at", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return seen.withColumn(name, hit).select(*rows.columns, name)
