@@ -10,18 +10,21 @@ Small nodes are compared exhaustively. In a larger node all members are first
 compared with one pivot. Members of one component need no further comparison
 among themselves, so a node of near copies is finished then. A node that still
 holds several components is compared exhaustively on full sets, if its sets
-have at most FULL shingles together. If it is larger and only few members stand
-outside its largest component, they are compared with all; else the node
-branches again, along BRANCHES paths of STEPS more selected tokens each, and so
-on. Nodes that are still mixed after LEVELS levels are compared in full by a
-join. Single pairs pass a sketch filter 4.5 standard errors wide (it stops one
-linked pair in 300,000), and are confirmed on their full sets. Sets travel as
-40-bit hashes.
+have at most FULL shingles together and at most WORK comparisons are left. If
+it is larger and only few members stand outside its largest component, they are
+compared with all; else the node branches again, along BRANCHES paths of STEPS
+more selected tokens each, and so on. Nodes that are still mixed after LEVELS
+levels are compared in full by a join, cut into parts by a salt. Single pairs
+pass a sketch filter 4.5 standard errors wide (it stops one linked pair in
+300,000), and are confirmed on their full sets of 64-bit hashes. Rows of a node
+that holds very many members are never dealt out by node.
 
 Defined cases: A-Z count as a-z; a text of fewer words than a shingle is one
 shingle; a null or blank text has none and links with nothing; repeated rows
-are one class; a null doc_id stays alone, with a null component; an empty table gives an
-empty result; extra columns are ignored.
+are one class; where one doc_id stands for several texts, links of any of them
+count for it (keep_one numbers rows by itself and keeps them apart); a null
+doc_id stays alone, with a null component; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import staged
+from textquarry.llm.common import key_joined, maybe_among, semi_joined, staged
 
 DEPTH = 4
 TREES = 20
@@ -43,10 +46,11 @@ COORDS = DEPTH * TREES
 SMALL = 32
 PIVOTS = 16
 FULL = 1 << 20
+WORK = 40_000_000
+SALTS = 64
 BRANCHES = 4
 STEPS = 3
 LEVELS = 5
-FILTER_BITS = 26
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD_A, _FOLD_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -84,17 +88,6 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(state)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, five bytes each; the order stays."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
-
-
 def minwise(values: np.ndarray) -> np.ndarray:
     """COORDS minwise tokens of a set, as 32-bit numbers."""
     out = np.empty(COORDS, np.uint32)
@@ -137,13 +130,14 @@ def _pairs_within(nodes: DataFrame) -> DataFrame:
 
 
 def _pairs_with_pivot(nodes: DataFrame) -> DataFrame:
-    pivots = nodes.groupBy("node").agg(F.min_by("rep", F.struct(F.xxhash64("node", "rep"), "rep")).alias("pivot"))
-    return nodes.join(pivots, "node").filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+    pivots = nodes.groupBy("node").agg(F.min_by("rep", F.struct(F.xxhash64("node", "rep"), "rep")).alias("pivot"), F.count("*").alias("n"))
+    both = key_joined(nodes, pivots, "node", nodes.count())
+    return both.filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
 
 
-def _sized(nodes: DataFrame) -> DataFrame:
-    counts = nodes.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1")
-    return nodes.join(counts, "node")
+def _sized(nodes: DataFrame, total: int) -> DataFrame:
+    counts = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    return key_joined(nodes, counts.withColumn("members", F.col("n")), "node", total)
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -164,25 +158,15 @@ def _likely(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is among ids (rep); texts of most others are left out before anything is shuffled.
-
-    A bitmap of 2 ** FILTER_BITS bits, whatever the number of ids, goes to all
-    tasks: 8 MB at most. What it lets through by chance the join drops.
-    """
-    slot = F.pmod(F.xxhash64(F.col("rep"), F.lit("filter")), F.lit(1 << FILTER_BITS))
-    marks = ids.groupBy(F.bitmap_bucket_number(slot).alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits"))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("filter")), F.lit(1 << FILTER_BITS))
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    seen = docs.select("doc_id", "text", F.bitmap_bucket_number(place).alias("__part"), at.alias("__at")).join(F.broadcast(marks), "__part")
-    some = seen.filter(F.getbit(byte, F.pmod("__at", F.lit(8)).cast("int")) == 1)
+    """docs whose doc_id is among ids (rep); texts of most others are left out before anything is shuffled."""
+    some = maybe_among(docs.select("doc_id", "text").filter("doc_id is not null"), F.col("doc_id"), ids.select("rep"), "__maybe").filter("__maybe")
     return some.select("doc_id", "text").join(ids.hint("shuffle_merge"), F.col("doc_id") == ids["rep"], "left_semi")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [packed(shingle_set(t.as_py(), size)) for t in batch.column("text")]
+            sets = [shingle_set(t.as_py(), size).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return _only(docs, ids).mapInArrow(run, "rep long, shingles binary")
@@ -199,7 +183,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = unpacked(x.as_py()), unpacked(y.as_py())
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both_ = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(den * both_ >= num * (len(p) + len(q) - both_))
             mask = pa.array(keep, pa.bool_())
@@ -226,9 +210,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """nodes (node, rep) with labels, without the nodes of one label."""
-    known = nodes.join(labels, "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = known.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("node")
-    return known.join(mixed, "node", "left_semi")
+    known = staged(nodes.join(labels, "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label")), "labelled")
+    mixed = known.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("node", "n")
+    return key_joined(known, mixed, "node", known.count())
 
 
 def _compared(nodes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -240,12 +224,12 @@ def _compared(nodes: DataFrame, docs: DataFrame, size: int, num: int, den: int)
     """
     # trees often lead the same members together: one node of each such set is enough
     same = nodes.groupBy("node").agg(F.sum(F.xxhash64("rep") % (1 << 40)).alias("h"), F.count("*").alias("n")).groupBy("h", "n").agg(F.min("node").alias("node"))
-    nodes = staged(nodes.join(same.select("node"), "node", "left_semi"), "compared")
+    nodes = staged(semi_joined(nodes, same, "node", nodes.count()), "compared")
     sets = staged(_sets(docs, nodes.select("rep").distinct(), size), "sets")
 
     def run(table: pa.Table) -> pa.Table:
         reps, labels = table.column("rep").to_numpy(), table.column("label").to_numpy().copy()
-        members = [unpacked(x.as_py()) for x in table.column("shingles")]
+        members = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
         sizes = np.array([len(m) for m in members])
         values, owners = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
         order = np.argsort(values, kind="stable")
@@ -273,25 +257,31 @@ def _deeper(nodes: DataFrame, reps: DataFrame, labels: DataFrame, level: int) ->
     mixed = staged(_labelled(nodes, labels), "mixed")
     if mixed.isEmpty():
         return mixed.select(F.col("rep").alias("a"), F.col("rep").alias("b")), None, mixed
+    total = mixed.count()
     weight = mixed.join(reps.select("rep", "n_shingles"), "rep").groupBy("node").agg(F.sum("n_shingles").alias("weight"))
-    light = weight.filter(F.col("weight") <= FULL).select("node")
-    full = mixed.join(light, "node", "left_semi")
-    heavy = staged(mixed.join(light, "node", "left_anti"), "heavy")
-    if heavy.isEmpty():
-        return heavy.select(F.col("rep").alias("a"), F.col("rep").alias("b")), None, full
-    by_label = heavy.groupBy("node", "label").agg(F.count("*").alias("n"))
-    top = by_label.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("members"))
-    rest = F.col("members") - F.col("most")
+    by_label = mixed.groupBy("node", "label").agg(F.count("*").alias("n"))
+    top = by_label.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    rest = F.col("n") - F.col("most")
+    top = staged(top.join(weight, "node"), "tops")
+    easy = (F.col("weight") <= FULL) & (rest * F.col("n") <= WORK)
+    full = key_joined(mixed, top.filter(easy).select("node", "n"), "node", total)
+    top = top.filter(~easy)
+    if top.isEmpty():
+        return mixed.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b")), None, full
+    heavy = staged(key_joined(mixed, top.select("node", "n"), "node", total), "heavy")
     if level >= LEVELS:
         finish, top = top, top.limit(0)
     else:
         finish, top = top.filter(rest <= PIVOTS), top.filter(rest > PIVOTS)
-    outside = heavy.join(finish.select("node", "top"), "node").filter("label <> top").select("node", F.col("rep").alias("x"), F.col("label").alias("x_label"))
-    pairs = heavy.join(outside, "node").filter("label <> x_label").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-    go = heavy.join(top.select("node"), "node", "left_semi")
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt")
+    outside = key_joined(heavy, finish.select("node", "top", "n"), "node", total).filter("label <> top")
+    outside = outside.select("node", F.col("rep").alias("x"), F.col("label").alias("x_label"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    pairs = heavy.select("*", salt).join(outside, ["node", "salt"]).filter("label <> x_label").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+    go = key_joined(heavy, top.select("node", "n"), "node", total)
     tokens = [F.element_at("coords", F.pmod(F.xxhash64("node", "path", F.lit(k)), F.lit(COORDS)).cast("int") + 1) for k in range(STEPS)]
     child = go.join(reps.select("rep", "coords"), "rep").withColumn("path", F.explode(F.array(*[F.lit(p) for p in range(BRANCHES)]))).select("rep", "label", F.xxhash64("node", "path", *tokens).alias("node"))
-    child = staged(_sized(child.distinct()), "children")
+    child = staged(child.distinct(), "grown")
+    child = staged(_sized(child, child.count()), "children")
     pairs = pairs.unionByName(_pairs_within(child.filter(F.col("members") <= SMALL)))
     large = child.filter(F.col("members") > SMALL).select("node", "rep")
     return pairs.unionByName(_pairs_with_pivot(large)), large, full
@@ -308,7 +298,7 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     usable = reps.filter(F.col("n_shingles") >= -(-num // max(1, den - num)))
     path = [F.xxhash64(F.lit(t), *[F.element_at("coords", t * DEPTH + k + 1) for k in range(DEPTH)]) for t in range(TREES)]
     nodes = usable.select("rep", F.explode(F.array(*path)).alias("node"))
-    nodes = staged(_sized(nodes), "nodes")
+    nodes = staged(_sized(nodes, usable.count() * TREES), "nodes")
     lone = nodes.withColumn("label", F.col("rep"))
     large = nodes.filter(F.col("members") > SMALL).select("node", "rep")
     pairs = _pairs_within(lone.filter(F.col("members") <= SMALL)).unionByName(_pairs_with_pivot(large))
