@@ -86,6 +86,7 @@ def parser() -> argparse.ArgumentParser:
     several.add_argument("spec")
     several.add_argument("--max-bytes", type=int, default=0)
     several.add_argument("--json", action="store_true")
+    verbs.add_parser("chunks").add_argument("path")
     listing = verbs.add_parser("ls")
     listing.add_argument("place", nargs="?")
     bench = verbs.add_parser("bench")
@@ -152,6 +153,8 @@ def run(engine: Engine, args: argparse.Namespace) -> str:
             return table(engine.collections().select("name", "doc_count"))
         name, _, prefix = args.place.partition("/")
         return table(engine.list_paths(name, prefix).select("path", "doc_id"))
+    if args.verb == "chunks":
+        return table(engine.chunks_of(args.path).select("seq", "start_pos", "end_pos", F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")))
     if args.verb == "bench":
         return table(engine.benchmark(args.file, args.mode, embedder_of(args))[1])
     if args.verb == "status":

@@ -24,7 +24,15 @@ def described(docs: DataFrame) -> DataFrame:
     """collection, path, content with content_hash, doc_id, title and doc_key."""
     path, content = F.col("path"), F.col("content")
     digest = X.content_hash(content)
-    return docs.withColumns({"content_hash": digest, "doc_id": X.short_id(digest), "title": X.title(content, path), "doc_key": F.xxhash64("collection", "path")})
+    return docs.withColumns({"content_hash": digest, "doc_id": X.short_id(digest), "title": X.title(content, path), "doc_key": doc_key()})
+
+
+def doc_key() -> Column:
+    return F.xxhash64("collection", "path")
+
+
+def chunk_key() -> Column:
+    return F.xxhash64("doc_key", "seq", "text")
 
 
 def reconcile(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -84,11 +92,25 @@ def rename_collection(old: str, new: str, collections: DataFrame, *tables: DataF
         raise CatalogError(f"collection {new} exists")
 
     def renamed(rows: DataFrame, column: str) -> DataFrame:
-        return rows.withColumn(column, F.when(F.col(column) == old, new).otherwise(F.col(column)))
+        """The keys follow the name, so a new collection of the old name meets none of them."""
+        mine = F.col(column) == old
+        rows = rows.withColumn("__mine", mine).withColumn(column, F.when(mine, new).otherwise(F.col(column)))
+        for key, made in (("doc_key", doc_key()), ("chunk_key", chunk_key())):
+            if key in rows.columns and column == "collection":
+                rows = rows.withColumn(key, F.when(F.col("__mine"), made).otherwise(F.col(key)))
+        return rows.drop("__mine")
 
     return [renamed(collections, "name"), *[renamed(t, "collection") for t in tables]]
 
 
+def moved_vectors(vectors: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """vectors whose keys follow those of renamed chunks: old and new are the same chunks before and after."""
+    place = ["path", "seq", "start_pos"]
+    moved = old.select(*place, F.col("chunk_key").alias("__old")).join(new.select(*place, F.col("chunk_key").alias("__chunk"), F.col("doc_key").alias("__doc")), place).drop(*place)
+    both = vectors.join(moved, vectors["chunk_key"] == moved["__old"], "left")
+    return both.withColumns({"chunk_key": F.coalesce("__chunk", "chunk_key"), "doc_key": F.coalesce("__doc", "doc_key")}).select(*vectors.columns)
+
+
 def set_context(contexts: DataFrame, collection: str | None, path: str, context: str) -> DataFrame:
     """contexts with one entry per (collection, path); no collection means all of them."""
     row = contexts.sparkSession.range(1).select(F.lit(collection).cast("string").alias("collection"), F.lit(path).alias("path"), F.lit(context).alias("context"))

@@ -8,6 +8,7 @@ query. Statistics are those of the whole corpus, whatever the filter.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ DEFAULT_LIMIT = 5
 SNIPPET_TOKENS = 15
 MARK, UNMARK = "\x1b[1m", "\x1b[0m"
 TERM_BUCKETS = 64
+#: Tokens whose postings go into one file.
+FILE_TOKENS = 8_000_000
 #: Queries are sent to all tasks only up to this many term rows.
 BROADCAST_TERMS = 100_000
 
@@ -30,6 +33,13 @@ CLAUSES = T.StructType([
     T.StructField("steps", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("negated", T.BooleanType()),
 ])
 
+#: The written tables, by documents of long keys; a table without rows has no file that tells its columns.
+TABLES = {
+    "postings": "term string, doc_key long, field int, tf long, positions array<int>, term_bucket int",
+    "lengths": "doc_key long, length long",
+    "corpus": "n_docs long, total_length long",
+}
+
 
 @dataclass(frozen=True)
 class LexicalIndex:
@@ -39,14 +49,36 @@ class LexicalIndex:
     analyzer: str
 
     def write(self, path: str) -> None:
-        """Postings are bucketed and sorted by term, so a query reads few row groups."""
-        self.postings.repartition("term_bucket").sortWithinPartitions("term", "doc_key").write.partitionBy("term_bucket").parquet(f"{path}/postings")
+        """Postings are bucketed and sorted by term, so a query reads few row groups.
+
+        A bucket is cut into as many files as its share of the tokens asks for,
+        by a salt of doc_key: a word of every document is not one task's work.
+        """
         self.lengths.write.parquet(f"{path}/lengths")
-        self.corpus.write.parquet(f"{path}/corpus")
+        written = self.lengths.sparkSession.read.parquet(f"{path}/lengths")
+        totals = written.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"))
+        totals.write.parquet(f"{path}/corpus")  # one row
+        tokens = totals.first()["total_length"]
+        salt = F.pmod(F.xxhash64("doc_key", F.lit("salt")), F.lit(-(-tokens // (TERM_BUCKETS * FILE_TOKENS)) or 1))
+        self.postings.repartition("term_bucket", salt).sortWithinPartitions("term_bucket", "term", "doc_key").write.partitionBy("term_bucket").parquet(f"{path}/postings")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, analyzer: str) -> LexicalIndex:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "corpus")], analyzer)
+        return cls.joined([[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "corpus")]], analyzer)
+
+    @classmethod
+    def joined(cls, parts: list[list[DataFrame]], analyzer: str) -> LexicalIndex:
+        """One index of parts that hold different documents: postings, lengths, and totals, which may count documents off."""
+        postings, lengths, totals = (reduce(DataFrame.unionByName, tables) for tables in zip(*parts, strict=True))
+        corpus = totals.agg(F.sum("n_docs").alias("n_docs"), (F.sum("total_length") / F.sum("n_docs")).alias("avg_length"))
+        return cls(postings, lengths, corpus, analyzer)
+
+    def of_terms(self, terms: list[str]) -> LexicalIndex:
+        """The same with the postings of these terms alone: only their buckets are read."""
+        spark = self.postings.sparkSession
+        places = spark.createDataFrame([(t,) for t in terms], "term string").select(term_bucket(F.col("term")).alias("b")).distinct().collect()
+        here = self.postings.filter(F.col("term_bucket").isin([r["b"] for r in places]) & F.col("term").isin(terms))
+        return LexicalIndex(here, self.lengths, self.corpus, self.analyzer)
 
 
 def term_bucket(term):

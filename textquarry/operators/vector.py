@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-import zlib
+import os
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,11 +52,42 @@ def checked(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFram
     return vectors.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(F.raise_error(F.format_string(f"vector has %d numbers, the index {dim}", F.size(column)))))
 
 
-def distances(batch: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Rows x queries, in double precision."""
+def distances(points: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    """Of rows to one query, in double precision."""
     if metric == "cosine":
-        return 1 - (batch @ queries.T) / (np.linalg.norm(batch, axis=1)[:, None] * np.linalg.norm(queries, axis=1)[None, :])
-    return np.stack([np.sqrt(((batch - q) ** 2).sum(axis=1)) for q in queries], axis=1)
+        return 1 - (points @ query) / (np.linalg.norm(points, axis=1) * np.linalg.norm(query))
+    return np.sqrt(((points - query) ** 2).sum(axis=1))
+
+
+def estimates(points: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x queries: numbers that rise with the distance, from one matrix product, and how far they may be off, by query."""
+    product = points @ queries.T
+    own, other = (points**2).sum(axis=1), (queries**2).sum(axis=1)
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1 - product / (np.sqrt(own)[:, None] * np.sqrt(other)[None, :]), np.full(len(queries), 1e-9)
+    return own[:, None] - 2 * product + other[None, :], 1e-9 * (own.max() + other)
+
+
+def best_rows(points: np.ndarray, query: np.ndarray, estimate: np.ndarray, slack: float, metric: str, docs: np.ndarray, tied: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best row of each of the `size` nearest documents, and the distances; ties in the order of `tied`.
+
+    Only rows that the estimate does not rule out are measured and sorted.
+    """
+    take = min(len(points), 2 * size)
+    while True:
+        if take < len(points):
+            edge = np.partition(estimate, take - 1)[take - 1]
+            rows = np.flatnonzero(~(estimate > edge + 2 * slack))
+        else:
+            rows = np.arange(len(points))
+        found = distances(points[rows], query, metric)
+        order = np.lexsort((tied[rows], found))
+        _, first = np.unique(docs[rows[order]], return_index=True)
+        if len(first) >= size or len(rows) == len(points):
+            picked = order[np.sort(first)[:size]]
+            return rows[picked], found[picked]
+        take = min(len(points), take * 4)
 
 
 def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: int | None = None, metric: str = "l2", doc: str = "doc_key", chunk: str = "chunk_key") -> DataFrame:
@@ -81,25 +114,18 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], limit: i
             if len(flat) != n * matrix.shape[1]:
                 raise ValueError(f"vectors must have {matrix.shape[1]} numbers")
             points = flat.reshape(n, -1)
-            docs = np.array(batch.column("doc_key").to_pylist(), object)
-            chunks = np.array(batch.column("chunk_key").to_pylist(), object)
-            # places of the rows by (doc_key, chunk_key), nulls first as in the final ranking
-            tied = np.empty(n, np.int64)
             keys = pa.table({"doc": batch.column("doc_key"), "chunk": batch.column("chunk_key")})
+            # places of the rows by (doc_key, chunk_key), nulls first as in the final ranking, and documents as numbers
+            tied = np.empty(n, np.int64)
             tied[pc.sort_indices(keys, [("doc", "ascending"), ("chunk", "ascending")], null_placement="at_start").to_numpy()] = np.arange(n)
+            docs = batch.column("doc_key").dictionary_encode("encode").indices.to_numpy()
             for at in range(0, len(ids), QUERY_BLOCK):
-                found = distances(points, matrix[at : at + QUERY_BLOCK], metric)
-                out = []
-                for k, query in enumerate(ids[at : at + QUERY_BLOCK]):
-                    column, seen = found[:, k], set()
-                    for i in np.lexsort((tied, column)):
-                        if docs[i] not in seen:
-                            seen.add(docs[i])
-                            out.append((int(query), docs[i], chunks[i], float(column[i])))
-                            if len(seen) == size:
-                                break
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field("doc_key").type), pa.array(columns[2], batch.schema.field("chunk_key").type), pa.array(columns[3], pa.float64())], names=["query_id", "doc_key", "chunk_key", "distance"])
+                block = matrix[at : at + QUERY_BLOCK]
+                estimate, slack = estimates(points, block, metric)
+                best = [best_rows(points, q, estimate[:, k], slack[k], metric, docs, tied, size) for k, q in enumerate(block)]
+                rows = pa.array(np.concatenate([r for r, _ in best]))
+                asked = np.repeat(ids[at : at + QUERY_BLOCK], [len(r) for r, _ in best])
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), batch.column("doc_key").take(rows), batch.column("chunk_key").take(rows), pa.array(np.concatenate([d for _, d in best]), pa.float64())], names=["query_id", "doc_key", "chunk_key", "distance"])
 
     source = vectors.select(F.col(doc).alias("doc_key"), F.col(chunk).alias("chunk_key"), "embedding")
     schema = T.StructType([T.StructField("query_id", T.LongType()), source.schema["doc_key"], source.schema["chunk_key"], T.StructField("distance", T.DoubleType())])
@@ -113,11 +139,15 @@ def best_documents(found: DataFrame, limit: int | None) -> DataFrame:
     return top_rows(by_doc, limit, [F.col("distance"), F.col("doc_key")]).withColumn("score", X.similarity(F.col("distance")))
 
 
-def search(vectors: DataFrame, queries: list[tuple[int, list[float]]], docs: DataFrame, limit: int | None = None, collections: str | None = None, min_score: float = 0.0, metric: str = "l2") -> DataFrame:
-    """Hits with the columns of docs; the collection filter works before the cut, so no row is lost to it."""
+def search(vectors: DataFrame, queries: list[tuple[int, list[float]]], docs: DataFrame, limit: int | None = None, collections: str | None = None, min_score: float = 0.0, metric: str = "l2", complete: bool = False) -> DataFrame:
+    """Hits with the columns of docs; the collection filter works before the cut, so no row is lost to it.
+
+    complete says that every vector's document is among docs: without a filter
+    the vectors then need no join, and only the best rows meet their documents.
+    """
     names = split_collections(collections)
     known = docs.filter(F.col("collection").isin(names)) if names else docs
-    usable = vectors.join(known.select("doc_key"), "doc_key", "left_semi")
+    usable = vectors if complete and not names else vectors.join(known.select("doc_key"), "doc_key", "left_semi")
     top = nearest(usable, queries, limit, metric)
     return top.join(known, "doc_key").filter(F.col("score") >= min_score)
 
@@ -149,30 +179,47 @@ class HashEmbedder:
         return out
 
 
-class RetryingEmbedder:
-    """Wraps a remote call: bounded batches, retries with growing pauses, answers back in order."""
+#: Answers that are worth another try, and the most calls at a time.
+RETRY_STATUS = frozenset({429, 500, 502, 503, 504})
+MOST_WORKERS = 8
+
+
+def worker_count(asked: int = 0) -> int:
+    """Calls at a time: what was asked for, else TEXTQUARRY_WORKERS, else one; MOST_WORKERS at most."""
+    return max(1, min(asked or int(os.environ.get("TEXTQUARRY_WORKERS") or 0), MOST_WORKERS))
 
-    def __init__(self, call: Callable[[list[str]], list[list[float]]], model: str, dim: int, batch: int = 100, tries: int = 4, pause: float = 1.0):
-        self.call, self.model, self.dim, self.batch, self.tries, self.pause = call, model, dim, batch, tries, pause
+
+def worth_retrying(error: Exception) -> bool:
+    """Lost connections, time-outs, and answers whose `status` or `code` says busy or broken."""
+    status = getattr(error, "status", None) or getattr(error, "code", None)
+    return status in RETRY_STATUS if isinstance(status, int) else isinstance(error, (OSError, TimeoutError))
+
+
+class RetryingEmbedder:
+    """Wraps a remote call: bounded batches, several at a time, retries with growing pauses, answers back in order."""
+
+    def __init__(self, call: Callable[[list[str]], list[list[float]]], model: str, dim: int, batch: int = 100, tries: int = 4, pause: float = 1.0, workers: int = 0):
+        self.call, self.model, self.dim, self.batch, self.tries, self.pause, self.workers = call, model, dim, batch, tries, pause, worker_count(workers)
+
+    def _answer(self, part: list[str]) -> list[list[float]]:
+        for turn in range(self.tries):
+            try:
+                got = self.call(part)
+                break
+            except Exception as error:
+                if turn == self.tries - 1 or not worth_retrying(error):
+                    raise
+                time.sleep(min(self.pause * 2**turn, 30))
+        if len(got) != len(part) or any(len(v) != self.dim for v in got):
+            raise ValueError("the backend's answer does not fit the request")
+        return got
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        import time
-
-        out: list[list[float]] = []
-        for at in range(0, len(texts), self.batch):
-            part = texts[at : at + self.batch]
-            for turn in range(self.tries):
-                try:
-                    got = self.call(part)
-                    break
-                except (OSError, TimeoutError):
-                    if turn == self.tries - 1:
-                        raise
-                    time.sleep(min(self.pause * 2**turn, 30))
-            if len(got) != len(part) or any(len(v) != self.dim for v in got):
-                raise ValueError("the backend's answer does not fit the request")
-            out += got
-        return out
+        parts = [texts[at : at + self.batch] for at in range(0, len(texts), self.batch)]
+        if self.workers == 1 or len(parts) < 2:
+            return [v for part in parts for v in self._answer(part)]
+        with ThreadPoolExecutor(self.workers) as pool:
+            return [v for got in pool.map(self._answer, parts) for v in got]
 
 
 def cached_query_vector(embedder: Embedder, size: int = 32) -> Callable[[str], tuple[float, ...]]:
@@ -213,13 +260,3 @@ def needing_embedding(chunks: DataFrame, done: DataFrame, force: bool = False) -
 def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_key") -> DataFrame:
     """old with the rows of new in place of those with the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
-
-
-def lsh_index(spark: SparkSession, vectors: DataFrame, bucket: float = 0.5, tables: int = 5):
-    """An approximate index, for vectors too many to scan: random-projection buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.withColumn("features", array_to_vector("embedding"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=zlib.crc32(b"lsh")).fit(rows)
-    return model, rows

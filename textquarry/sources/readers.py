@@ -36,9 +36,12 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """query_id, query, relevant from JSON lines; blank lines and those that begin with // or # do not count.
 
     A malformed line, an empty query or an empty list of relevant documents is an error.
+    Lines of one query are one judgement: what any of them lists is relevant.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' and not startswith(line, '//') and not startswith(line, '#')")
+    blank = r"^[ \t\r\x0b\f]+|[ \t\r\x0b\f]+$"
+    lines = spark.read.text(path).select(F.regexp_replace("value", blank, "").alias("line")).filter("line <> '' and not startswith(line, '//') and not startswith(line, '#')")
     parsed = lines.select("line", F.from_json("line", "query STRING, relevant ARRAY<STRING>", {"mode": "PERMISSIVE"}).alias("j"))
     bad = F.col("j.query").isNull() | (F.trim("j.query") == "") | F.col("j.relevant").isNull() | (F.size("j.relevant") == 0) | (F.length("line") > QREL_LINE)
     checked = parsed.select(F.when(bad, F.raise_error(F.concat(F.lit("not a judgement: "), F.substring("line", 1, 200)))).otherwise(F.col("j.query")).alias("query"), F.col("j.relevant").alias("relevant"))
-    return checked.select(F.xxhash64("query").alias("query_id"), "query", "relevant")
+    merged = checked.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("relevant"))).alias("relevant"))
+    return merged.select(F.xxhash64("query").alias("query_id"), "query", "relevant")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textquarry.functions import globs
-from textquarry.operators import catalog
-from textquarry.plans.engine import SCHEMAS, Engine
+from textquarry.plans.engine import Engine
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -29,10 +28,6 @@ def ingest(engine: Engine, stream: DataFrame, checkpoint: str, **trigger) -> Str
         if batch.isEmpty():
             return
         newest = batch.groupBy("collection", "path").agg(F.max_by(F.struct("absolute_path", "content", "updated_at"), "updated_at").alias("d")).select("collection", "path", "d.*")
-        known = engine.table("documents")
-        rest = known.join(newest.select(*catalog.KEY), catalog.KEY, "left_anti")
-        columns = ["collection", "path", "absolute_path", "content", "updated_at"]
-        assert set(columns) <= {f.split()[0] for f in SCHEMAS["documents"].split(", ")}
-        engine.index_documents(rest.select(*columns).unionByName(newest.select(*columns)))
+        engine.upsert_documents(newest.select("collection", "path", "absolute_path", "content", "updated_at"))
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
