@@ -2,195 +2,225 @@
 
 Blocks are independent: each starts with fresh models. All blocks of a group
 advance together, one id at a time, so every step is a handful of array
-operations over the group. An id is coded as
+operations over the group. An id is coded in at most two moves:
 1. whether it equals the order-2 prediction (or, where the last two ids are
-   new, the order-1 prediction): two adaptive probabilities, one by each order's
-   confidence, mixed with a weight that follows the better one;
-2. else whether it equals the order-1 prediction, if that differs;
-3. else by order 0: adaptive counts of its high byte, then of its low byte.
-Encoder and decoder run the same model code.
+   new, the order-1 prediction), else the order-1 prediction if that differs, or
+   neither. The first chance is a mix of two adaptive ones, by each order's
+   confidence, with a weight that follows the better; the second is adaptive too;
+2. if neither, by order 0: adaptive counts of its high byte, then of its low byte.
+Encoder and decoder run the same model code. The range coder keeps 64 bits of
+state and moves 16 bits at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-TABLE_BITS = 11
-REFRESH = 32
-REFRESH_BYTES = 8  # more than one id can take
+TABLE_BITS = 10
 STEP = 12  # counts stay under 2 ** 16 within MOST_IDS ids
 MOST_IDS = 4096
-_TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
-_TWELVE, _EIGHT, _BYTE = np.uint32(12), np.uint32(8), np.uint32(24)
-_LOW16 = np.uint32(0xFFFF)
+ROOM = 64  # steps between two looks at the room that is left
+ROOM_WORDS = 8  # more words than one id can take
+U = np.uint64
+#: An id is coded from a range of 2 ** 44 at least: 12 bits for the choice and 16 for each byte leave it above 0.
+_TOP, _BOTTOM, _MASK = U(1 << 48), U(1 << 44), U((1 << 44) - 1)
+_WORD, _HEAD, _TWELVE, _SAFE = U(16), U(48), U(12), U(34)
+
+
+def _refreshed(t: int) -> bool:
+    """Whether order 0 takes its counts into use before step t: often at first, then every 128 steps."""
+    return t % 128 == 0 or (t < 128 and t % 16 == 0) or t == 8
 
 
 class _Range:
-    """A carryless range coder for each lane, with 32-bit state; payloads given: it decodes."""
+    """A carryless range coder for each lane; payloads given: it decodes."""
 
     def __init__(self, lanes: int, steps: int, payloads: list[bytes] | None):
-        self.low = np.zeros(lanes, np.uint32)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint32)
+        self.low = np.zeros(lanes, U)
+        self.range = np.full(lanes, (1 << 64) - 1, U)
         self.decoding = payloads is not None
         self.at = np.zeros(lanes, np.int64)
         if payloads is None:
-            self._widen(lanes, 2 * steps + 64 * REFRESH_BYTES)
+            self._widen(lanes, steps + ROOM * ROOM_WORDS)
         else:
-            sizes = np.array([len(p) for p in payloads], np.int64)
-            self.bytes = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8)
+            sizes = np.array([len(p) // 2 for p in payloads], np.int64)
+            self.words = np.frombuffer(b"".join(payloads) + bytes(64), "<u2")
             self.base = np.cumsum(sizes) - sizes
-            self.code = np.zeros(lanes, np.uint32)
+            self.code = np.zeros(lanes, U)
             for _ in range(4):
-                self.code = (self.code << _EIGHT) | self.bytes[self.base + self.at]
+                self.code = (self.code << _WORD) | self.words[np.minimum(self.base + self.at, len(self.words) - 1)]
                 self.at += 1
 
     def _widen(self, lanes: int, width: int) -> None:
-        fresh = np.zeros((lanes, width), np.uint8)
+        fresh = np.zeros((lanes, width), "<u2")
         if hasattr(self, "width"):
-            fresh[:, : self.width] = self.bytes.reshape(lanes, self.width)
-        self.width, self.bytes = width, fresh.reshape(-1)
+            fresh[:, : self.width] = self.words.reshape(lanes, self.width)
+        self.width, self.words = width, fresh.reshape(-1)
         self.base = np.arange(lanes, dtype=np.int64) * width
 
     def make_room(self) -> None:
-        """Called every REFRESH steps: room for the bytes until the next call."""
-        if not self.decoding and self.at.max() + REFRESH * REFRESH_BYTES > self.width:
-            self._widen(len(self.at), self.width * 3 // 2 + REFRESH * REFRESH_BYTES)
-
-    def _settle(self, who: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
-        """Writes back the lanes' state, moving finished bytes out (or in)."""
-        same = (low ^ (low + size)) < _TOP
-        busy = np.flatnonzero(same | (size < _BOTTOM))
+        """Called every ROOM steps: room for the words until the next call."""
+        if not self.decoding and self.at.max() + ROOM * ROOM_WORDS > self.width:
+            self._widen(len(self.at), self.width * 3 // 2 + ROOM * ROOM_WORDS)
+
+    def settle(self) -> None:
+        """Moves finished words out (or in) for all lanes that have any; called after every id."""
+        busy = np.flatnonzero(((self.low ^ (self.low + self.range)) < _TOP) | (self.range < _BOTTOM))
         while len(busy):
-            b_low, b_size = low[busy], size[busy]
-            tight = ~((b_low ^ (b_low + b_size)) < _TOP)
-            b_size = np.where(tight, (np.uint32(0) - b_low) & _LOW16, b_size)
-            lane = who[busy]
-            place = self.base[lane] + self.at[lane]
+            low, size = self.low.take(busy, mode="clip"), self.range.take(busy, mode="clip")
+            tight = np.flatnonzero((low ^ (low + size)) >= _TOP)
+            if len(tight):
+                size[tight] = (U(0) - low[tight]) & _MASK
+            at = self.at.take(busy, mode="clip")
+            place = self.base.take(busy, mode="clip") + at
             if self.decoding:
-                self.code[lane] = (self.code[lane] << _EIGHT) | self.bytes[np.minimum(place, len(self.bytes) - 1)]
+                self.code[busy] = (self.code.take(busy, mode="clip") << _WORD) | self.words.take(place, mode="clip")
             else:
-                self.bytes[place] = (b_low >> _BYTE).astype(np.uint8)
-            self.at[lane] += 1
-            b_low, b_size = b_low << _EIGHT, b_size << _EIGHT
-            low[busy], size[busy] = b_low, b_size
-            again = ((b_low ^ (b_low + b_size)) < _TOP) | (b_size < _BOTTOM)
-            busy = busy[again]
-        self.low[who], self.range[who] = low, size
-
-    def bit(self, who: np.ndarray, p: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        """Codes a decision that is true with chance p / 4096 in each of the lanes `who`."""
-        low, size = self.low[who], self.range[who]
-        cut = (size >> _TWELVE) * p.astype(np.uint32)
+                self.words[place] = low >> _HEAD
+            self.at[busy] = at + 1
+            low, size = low << _WORD, size << _WORD
+            self.low[busy], self.range[busy] = low, size
+            busy = busy[((low ^ (low + size)) < _TOP) | (size < _BOTTOM)]
+
+    def pick(self, first: np.ndarray, both: np.ndarray, is_first: np.ndarray | None, is_second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, in all lanes, which of three holds: the first has a chance of first / 4096, the first two together of both / 4096."""
+        unit = self.range >> _TWELVE
+        one, two = unit * first, unit * both
         if self.decoding:
-            bits = (self.code[who] - low) < cut
-        self._settle(who, np.where(bits, low, low + cut), np.where(bits, cut, size - cut))
-        return bits
-
-    def symbol(self, who: np.ndarray, bounds: np.ndarray, symbols: np.ndarray | None) -> np.ndarray:
-        """Codes a byte by rows of 257 rising bounds, one row per lane of all."""
-        low, size = self.low[who], self.range[who]
+            value = self.code - self.low
+            is_first = value < one
+            is_second = (value < two) & ~is_first
+        start = two
+        start[is_second] = one[is_second]
+        start[is_first] = 0
+        stop = self.range
+        stop[is_second] = unit[is_second] * both[is_second]
+        stop[is_first] = one[is_first]
+        self.low += start
+        self.range = stop - start
+        return is_first, is_second
+
+    def bytes_of(self, who: np.ndarray, bounds: list[np.ndarray], symbols: list[np.ndarray] | None) -> list[np.ndarray]:
+        """Codes two bytes in the lanes `who`, by 257 rising bounds each, lane by lane."""
+        low, size = self.low.take(who, mode="clip"), self.range.take(who, mode="clip")
+        value = self.code.take(who, mode="clip") - low if self.decoding else None
         row = who * 257
-        flat = bounds.reshape(-1)
-        part = size // flat[row + 256]
-        if self.decoding:
-            goal = np.minimum((self.code[who] - low) // part, flat[row + 256] - np.uint32(1))
-            at = row.copy()
-            for shift in (7, 6, 5, 4, 3, 2, 1, 0):
-                at += (flat[at + (1 << shift)] <= goal).astype(np.int64) << shift
-            symbols = at - row
-        start = flat[row + symbols]
-        self._settle(who, low + part * start, part * (flat[row + symbols + 1] - start))
-        return symbols
+        out = []
+        for k, flat in enumerate(bounds):
+            whole = flat.take(row + 256, mode="clip").astype(np.float64)
+            # the quotient in floating point, made smaller where it could be too large
+            unit = (size.astype(np.float64) / whole).astype(U)
+            unit -= unit >> _SAFE
+            if self.decoding:
+                goal = (value.astype(np.float64) / unit.astype(np.float64)).astype(U)
+                goal -= goal * unit > value
+                goal += (goal + U(1)) * unit <= value
+                goal = np.minimum(goal, whole.astype(U) - U(1)).astype(np.uint16)
+                at = row.copy()
+                for shift in (128, 64, 32, 16, 8, 4, 2, 1):
+                    at += (flat.take(at + shift, mode="clip") <= goal) * shift
+            else:
+                at = row + symbols[k]
+            start = flat.take(at, mode="clip").astype(U)
+            step = unit * start
+            low += step
+            size = unit * (flat.take(at + 1, mode="clip").astype(U) - start)
+            if self.decoding:
+                value -= step
+            out.append(at - row)
+        self.low[who], self.range[who] = low, size
+        return out
 
     def payloads(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
         for _ in range(4):
-            self.bytes[self.base + self.at] = (self.low >> _BYTE).astype(np.uint8)
+            self.words[self.base + self.at] = self.low >> _HEAD
             self.at += 1
-            self.low = self.low << _EIGHT
-        return [self.bytes[self.base[i] : self.base[i] + self.at[i]].tobytes() for i in lanes]
-
-
-class _Order:
-    """Last id seen after a context, with a confidence of 0 to 3, in a hashed table for each lane."""
-
-    def __init__(self, lanes: int):
-        self.ids = np.zeros(lanes << TABLE_BITS, np.uint16)
-        self.sure = np.zeros(lanes << TABLE_BITS, np.int8)
+            self.low = self.low << _WORD
+        return [self.words[b : b + n].tobytes() for b, n in zip(self.base, self.at, strict=True)]
 
-    def look(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.ids[slot], self.sure[slot]
 
-    def learn(self, slot: np.ndarray, guess: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> None:
-        right = guess == ids
-        weak = sure <= 1
-        self.ids[slot] = np.where(right | ~weak, guess, ids)
-        self.sure[slot] = np.where(right, np.minimum(sure + 1, 3), np.where(weak, 1, sure - 1))
+def _learned(table: np.ndarray, slot: np.ndarray, p: np.ndarray, goal: np.ndarray) -> None:
+    table[slot] = p + ((goal - p) >> 5)
 
 
-def _learned(table: np.ndarray, slot: np.ndarray, p: np.ndarray, bits: np.ndarray) -> None:
-    table[slot] = np.where(bits, p + ((65536 - p) >> 5), p - (p >> 5))
+def _updated(entry: np.ndarray, guess: np.ndarray, sure: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Entries (id << 2 | confidence) after the id `now`: a right guess gains confidence, a wrong one loses it or goes."""
+    right = guess == now
+    kept = entry + (right & (sure < 3)) - ~right
+    gone = np.flatnonzero(~right & (sure <= 1))
+    kept[gone] = now[gone] << 2 | 1
+    return kept
 
 
 def _run(lanes: int, steps: int, ids: np.ndarray | None, payloads: list[bytes] | None) -> tuple[np.ndarray, list[bytes]]:
     coder = _Range(lanes, steps, payloads)
     every = np.arange(lanes)
-    home = every << TABLE_BITS
+    home, home_8 = every << TABLE_BITS, every * 8
     mask = (1 << TABLE_BITS) - 1
-    one, two = _Order(lanes), _Order(lanes)
-    by_two = np.full(lanes * 8, 32768, np.int32)
-    by_one = np.full(lanes * 8, 32768, np.int32)
+    one, two = np.zeros(lanes << TABLE_BITS, np.uint32), np.zeros(lanes << TABLE_BITS, np.uint32)
+    by_two, by_one = np.full(lanes * 8, 32768, np.int32), np.full(lanes * 8, 32768, np.int32)
     second = np.full(lanes * 4, 32768, np.int32)
     weight = np.full(lanes, 128, np.int32)
-    counts = [np.ones((lanes, 256), np.uint32) for _ in range(2)]
-    bounds = [np.zeros((lanes, 257), np.uint32) for _ in range(2)]
+    counts = [np.ones((lanes, 256), np.uint16) for _ in range(2)]
+    bounds = [np.zeros((lanes, 257), np.uint16) for _ in range(2)]
+    flat_counts, flat_bounds = [c.reshape(-1) for c in counts], [b.reshape(-1) for b in bounds]
     out = np.zeros((steps, lanes), np.uint16)
-    given = None if ids is None else np.ascontiguousarray(ids.T.astype(np.uint16))
-    last = np.zeros(lanes, np.int64)
-    before = np.zeros(lanes, np.int64)
+    given = None if ids is None else np.ascontiguousarray(ids.T.astype(np.uint32))
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    x = x_first = x_second = None
     for t in range(steps):
-        if t % REFRESH == 0:
+        if t % ROOM == 0:
             coder.make_room()
+        if _refreshed(t):
             for c, b in zip(counts, bounds, strict=True):
-                np.cumsum(c, axis=1, out=b[:, 1:])
-        x = None if given is None else given[t]
-        slot_1 = home + ((last * 40503 >> 5) & mask)
-        slot_2 = home + (((last * 40503 + before * 30011) >> 4) & mask)
-        guess_1, sure_1 = one.look(slot_1)
-        guess_2, sure_2 = two.look(slot_2)
+                np.cumsum(c, axis=1, dtype=np.uint16, out=b[:, 1:])
+        key = last * 40503
+        slot_1 = home + (key >> 5 & mask)
+        slot_2 = home + (key + before * 30011 >> 4 & mask)
+        entry_1, entry_2 = one.take(slot_1, mode="clip"), two.take(slot_2, mode="clip")
+        sure_1, sure_2 = entry_1 & 3, entry_2 & 3
+        guess_1, guess_2 = entry_1 >> 2, entry_2 >> 2
         agree = guess_1 == guess_2
-        first = np.where(sure_2 > 0, guess_2, guess_1)
-        at_2 = every * 8 + sure_2 * 2 + agree
-        at_1 = every * 8 + sure_1 * 2 + agree
-        p_2, p_1 = by_two[at_2], by_one[at_1]
-        p = np.minimum(np.maximum((p_2 * weight + p_1 * (256 - weight)) >> 12, 16), 4080)
-        hit = coder.bit(every, p, None if x is None else x == first)
-        _learned(by_two, at_2, p_2, hit)
-        _learned(by_one, at_1, p_1, hit)
-        better = np.sign(p_2 - p_1) * np.where(hit, 2, -2)
-        weight = np.minimum(np.maximum(weight + better, 16), 240)
-        now = first.copy()
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            other = miss[(sure_2[miss] > 0) & (sure_1[miss] > 0) & ~agree[miss]]
-            rest = miss
-            if len(other):
-                at = other * 4 + sure_1[other]
-                q = second[at]
-                hit_2 = coder.bit(other, np.minimum(np.maximum(q >> 4, 16), 4080), None if x is None else x[other] == guess_1[other])
-                _learned(second, at, q, hit_2)
-                now[other[hit_2]] = guess_1[other[hit_2]]
-                done = np.zeros(lanes, bool)
-                done[other[hit_2]] = True
-                rest = miss[~done[miss]]
-            if len(rest):
-                high = coder.symbol(rest, bounds[0], None if x is None else (x[rest] >> 8).astype(np.int64))
-                low = coder.symbol(rest, bounds[1], None if x is None else (x[rest] & 255).astype(np.int64))
-                counts[0][rest, high] += np.uint32(STEP)
-                counts[1][rest, low] += np.uint32(STEP)
-                now[rest] = (high << 8 | low).astype(np.uint16)
-        one.learn(slot_1, guess_1, sure_1, now)
-        two.learn(slot_2, guess_2, sure_2, now)
+        known = sure_2 > 0
+        first = np.where(known, guess_2, guess_1)
+        other = known & (sure_1 > 0) & ~agree
+        agreed = home_8 + agree
+        at_2, at_1 = agreed + (sure_2 << 1), agreed + (sure_1 << 1)
+        p_2, p_1 = by_two.take(at_2, mode="clip"), by_one.take(at_1, mode="clip")
+        chance = (p_1 * 256 + (p_2 - p_1) * weight) >> 12
+        np.maximum(chance, 16, out=chance)
+        np.minimum(chance, 4064, out=chance)
+        differ = np.flatnonzero(other)
+        at_s = differ * 4 + sure_1[differ]
+        p_s = second.take(at_s, mode="clip")
+        both = chance.copy()
+        both[differ] += np.maximum((4096 - chance[differ]) * (np.minimum(p_s, 65000) >> 4) >> 12, 1)
+        if given is not None:
+            x = given[t]
+            x_first = x == first
+            x_second = other & (x == guess_1) & ~x_first
+        hit, hit_2 = coder.pick(chance.astype(U), both.astype(U), x_first, x_second)
+        goal = hit * np.int32(65535)
+        _learned(by_two, at_2, p_2, goal)
+        _learned(by_one, at_1, p_1, goal)
+        weight += ((p_2 > p_1) == hit) * np.int32(4) - np.int32(2)
+        np.maximum(weight, 16, out=weight)
+        np.minimum(weight, 240, out=weight)
+        lost = np.flatnonzero(~hit[differ])
+        _learned(second, at_s[lost], p_s[lost], hit_2[differ[lost]] * np.int32(65535))
+        now = np.where(hit, first, guess_1)
+        rest = np.flatnonzero(~(hit | hit_2))
+        if len(rest):
+            known_bytes = None
+            if x is not None:
+                known_bytes = [(x[rest] >> 8).astype(np.int64), (x[rest] & 255).astype(np.int64)]
+            high, low = coder.bytes_of(rest, flat_bounds, known_bytes)
+            flat_counts[0][rest * 256 + high] += np.uint16(STEP)
+            flat_counts[1][rest * 256 + low] += np.uint16(STEP)
+            now[rest] = high << 8 | low
+        coder.settle()
+        one[slot_1] = _updated(entry_1, guess_1, sure_1, now)
+        two[slot_2] = _updated(entry_2, guess_2, sure_2, now)
         out[t] = now
         before, last = last, now.astype(np.int64)
     return out.T, [] if coder.decoding else coder.payloads()

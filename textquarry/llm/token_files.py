@@ -1,13 +1,14 @@
 """Token ids of documents in compressed binary files.
 
-Texts are tokenized with the tokenizers library; as words repeat, each worker keeps
-the ids of words it has met. The vocabulary's pre-tokens never cross ASCII white
-space, so the ids of a text are those of its words, put together. Ids of all
-documents, in ascending doc_id order and each ended by END_ID, are cut into
-blocks of BLOCK ids per file; a block is coded by the adaptive range coder of
-codec.py on its own and carries its checksum, the documents that end in it and
-the number of documents before it in its file. The container is a Spark table, so
-files are written and read through the cluster's store.
+Texts are tokenized with the tokenizers library. The vocabulary's pre-tokens
+never cross ASCII white space, nor the place between letters and the marks after
+them, so the ids of a text are those of its words' parts, put together: a worker
+tokenizes each distinct part once and keeps a bounded number of them, and array
+operations put the ids in place. Ids of all documents, in ascending doc_id order and each
+ended by END_ID, are cut into blocks of BLOCK ids per file; a block is coded by
+the adaptive range coder of codec.py on its own and carries its checksum, the
+documents that end in it and the number of documents before it in its file. The
+container is a Spark table, so files are written and read through the cluster's store.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes
 first; repeated doc_ids are separate documents in the order of their ids; an
@@ -17,13 +18,14 @@ checksum does not match stops the read with an error.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,64 +36,155 @@ END_ID = 2
 BLOCK = codec.MOST_IDS
 LANES = 4096
 FILE_IDS = 16_000_000
-KNOWN_WORDS = 400_000
-_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: Text that is tokenized at a time, in bytes, and one document at least.
+PIECE_BYTES = 12 << 20
+#: Parts whose ids a worker keeps; beyond, it begins anew.
+KNOWN_PARTS = 1_500_000
+#: Parts that go to the library in one text.
+ROW_PARTS = 2000
+#: ASCII marks but the apostrophe, which begins contractions; \\x00 and other controls are no marks here.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters whose lower case and normal form are single, the same in every library: ASCII, Latin-1 and most of Latin Extended-A.
+PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0137\u0139-\u0148\u014a-\u017e]+$"
 FORMAT = "shard int, block long, n_ids int, crc32 long, first_doc long, doc_ids array<long>, doc_ends array<int>, payload binary"
 
 
-class WordCache:
-    """Ids (little-endian 16-bit) of white-space-free pieces of text, by a tokenizer file."""
+class Words:
+    """Ids of white-space-free parts of text, by a tokenizer file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        self.whole = Tokenizer.from_file(path)
+        if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids above 65535 do not fit the file format")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _split(self, word: bytes) -> list[str]:
-        """A word of letters and the marks after it are pre-tokens of their own."""
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text)
-        if not plain:
-            return [text]
-        core = plain[1].lower() if plain[1].isascii() else plain[1]
-        return [core, plain[2]] if plain[2] else [core]
-
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Ids of documents given as lists of words."""
-        if len(self.words) > KNOWN_WORDS:
-            self.words.clear()
-        if len(self.parts) > KNOWN_WORDS:
-            self.parts.clear()
-        known = self.words
-        fresh = {w for words in texts for w in words if w not in known}
-        split = {w: self._split(w) for w in fresh}
-        new = list({p for parts in split.values() for p in parts if p not in self.parts})
-        for part, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(got.ids, "<u2").tobytes()
-        for w, parts in split.items():
-            known[w] = b"".join([self.parts[p] for p in parts])
-        return [b"".join([known[w] for w in words]) for words in texts]
-
-
-_caches: dict[str, WordCache] = {}
+        # parts of plain letters in lower case need no normalization and are one pre-token each
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = json.loads(self.whole.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(1 << 16, bool)
+        if suffix:
+            self.ends[[i for word, i in self.whole.get_vocab().items() if word.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """What is known of parts: their names, where their ids begin in the store, and how many they are."""
+        self.names, self.begin, self.sizes, self.store = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u2")
+
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """The numbers of distinct parts among those known; the ids of new ones are looked up."""
+        if len(self.names) > KNOWN_PARTS:
+            self._forget()
+        found = pc.index_in(parts, value_set=self.names)
+        fresh = parts.filter(pc.is_null(found))
+        easy = pc.and_(pc.match_substring_regex(fresh, PLAIN), pc.equal(fresh, pc.utf8_lower(fresh)))
+        plain, other = fresh.filter(easy), fresh.filter(pc.invert(easy))
+        known, held = len(self.names), len(self.store)
+        (ids_a, n_a), (ids_b, n_b) = self.plain_ids(plain), self.other_ids(other)
+        sizes = np.concatenate([n_a, n_b])
+        self.names = pa.concat_arrays([self.names, plain, other])
+        self.store = np.concatenate([self.store, ids_a, ids_b])
+        self.begin = np.concatenate([self.begin, held + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        out = found.fill_null(0).to_numpy().astype(np.int64)
+        flags = easy.to_numpy(zero_copy_only=False)
+        order = np.empty(len(fresh), np.int64)
+        order[flags], order[~flags] = known + np.arange(len(plain)), known + len(plain) + np.arange(len(other))
+        out[pc.is_null(found).to_numpy(zero_copy_only=False)] = order
+        return out
+
+    def plain_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of parts of plain letters, and how many each part has."""
+        if not len(parts):
+            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        names = parts.to_pylist()
+        rows = [" ".join(names[i : i + ROW_PARTS]) for i in range(0, len(names), ROW_PARTS)]
+        got = self.plain.encode_batch_fast(rows, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u2") for e in got])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(parts) or last[-1] != len(ids) - 1:
+            return self.other_ids(parts)
+        return ids, np.diff(last, prepend=-1)
+
+    def other_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of any kind."""
+        got = [e.ids for e in self.whole.encode_batch_fast(parts.to_pylist(), add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], "<u2"), np.array([len(ids) for ids in got], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by END_ID, and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary
+        # a word of plain letters and the marks after it are two parts, any other word is one
+        core = pc.utf8_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(core, PLAIN)
+        core = pc.if_else(plain, pc.utf8_lower(core), words)
+        tail_at = pc.binary_length(pc.if_else(plain, pc.utf8_rtrim(words, MARKS), words)).to_numpy()
+        tails, starts = words.cast(pa.binary()), np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        tail_sizes = np.diff(starts) - tail_at
+        tail_bytes = _sliced(tails, starts[:-1] + tail_at, tail_sizes)
+        every = pa.concat_arrays([core, tail_bytes.cast(pa.string())]).dictionary_encode()
+        of = self.places(every.dictionary)[every.indices.to_numpy().reshape(2, -1).T.ravel()]
+        # the ids of each distinct word, then of each word in its place
+        sizes = self.sizes[of]
+        word_ids = self.store[_ranges(self.begin[of], sizes)]
+        word_sizes = sizes.reshape(-1, 2).sum(axis=1)
+        word_begin = np.cumsum(word_sizes) - word_sizes
+        used = coded.indices.to_numpy()
+        counts = word_sizes[used]
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        bounds = np.frombuffer(split.buffers()[1], np.int32)[split.offset : split.offset + len(split) + 1]
+        ends = sums[bounds[1:] - bounds[0]]
+        out = np.empty(sums[-1] + len(texts), "<u2")
+        last = ends + np.arange(len(texts))
+        mine = np.ones(len(out), bool)
+        mine[last] = False
+        out[last] = END_ID
+        out[mine] = word_ids[_ranges(word_begin[used], counts)]
+        return out, np.diff(last, prepend=-1)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), then those of begin[1], and so on."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(size.sum())
+
+
+def _sliced(values: pa.Array, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Byte strings that begin and end at these places of the array's data."""
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[_ranges(begin.astype(np.int64), size.astype(np.int64))].tobytes())])
+
+
+_words: dict[str, Words] = {}
+
+
+def _piece_bounds(texts: pa.Array) -> list[int]:
+    """Where to cut texts so that a piece has PIECE_BYTES, or one document."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0]
+    while cuts[-1] < len(texts):
+        before = sizes[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(sizes, before + PIECE_BYTES, side="right"))))
+    return cuts
 
 
 def _tokenized(path: str):
-    end = np.array([END_ID], "<u2").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _caches.setdefault(path, WordCache(path)) if path not in _caches else _caches[path]
+        if path not in _words:
+            _words[path] = Words(path)
         for batch in batches:
-            for part in range(0, batch.num_rows, 1000):
-                piece = batch.slice(part, 1000)
-                words = [(t.as_py() or "").encode().split() for t in piece.column("text")]
-                ids = [x + end for x in cache.encode(words)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            cuts = _piece_bounds(batch.column("text"))
+            for a, b in zip(cuts, cuts[1:]):
+                piece = batch.slice(a, b - a)
+                ids, sizes = _words[path].encode(piece.column("text"))
+                offsets = np.concatenate([[0], np.cumsum(sizes * 2)]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes, pa.int64()), raw], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -165,16 +258,15 @@ def decoded(batch: pa.RecordBatch) -> list[np.ndarray]:
     """The ids of a batch's blocks, checked."""
     sizes = np.array(batch.column("n_ids").to_pylist(), np.int64)
     payloads, sums = batch.column("payload").to_pylist(), batch.column("crc32").to_pylist()
-    steps = np.where(sizes == BLOCK, BLOCK, sizes)
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(sizes)
-    # a file's last block was coded beside full ones, or alone
-    full = np.flatnonzero(steps == BLOCK)
+    # a file's last block was coded beside full ones and as long as they, or alone
+    alone = (sizes < BLOCK) & (np.array(batch.column("block").to_pylist(), np.int64) == 0)
+    full = np.flatnonzero(~alone)
     for who in [full[i : i + LANES] for i in range(0, len(full), LANES)]:
         for i, row in zip(who, codec.decode([payloads[k] for k in who], BLOCK), strict=True):
-            out[i] = row
-    for i in np.flatnonzero(steps != BLOCK):
-        alone = batch.column("block")[int(i)].as_py() == 0
-        out[i] = codec.decode([payloads[i]], int(sizes[i]) if alone else BLOCK)[0][: sizes[i]]
+            out[i] = row[: sizes[i]]
+    for i in np.flatnonzero(alone):
+        out[i] = codec.decode([payloads[i]], int(sizes[i]))[0]
     for i, ids in enumerate(out):
         if _checksum(ids) != sums[i]:
             raise ValueError(f"block {batch.column('block')[i]} of shard {batch.column('shard')[i]} is damaged")
