@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -15,23 +16,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
+    """The folder that driver and executors share. Where none is set, a temporary one, but only if all tasks run in the driver's process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         found = tempfile.mkdtemp(prefix="textquarry-")
         spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("textquarry.scratch", found)
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/textquarry/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a staged table that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/textquarry/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Removes every staged table below the shared folder; results not yet read are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/textquarry")
+    """Removes the staged tables of this application, and of no other; results not yet read are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -57,15 +64,16 @@ def count_words(text: Column) -> Column:
 
 def buckets_for(rows: int, share: int = 1) -> int:
     """Buckets for `running`: they and the rows in each grow with the square root of all rows."""
-    return max(1, math.isqrt(rows) // (4 * share))
+    return max(1, math.isqrt(rows) // share)
 
 
 def running(df: DataFrame, within: list[str], bucket: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Adds exclusive running sums of `sums`, in the order (bucket, order) inside each `within`.
 
     Two levels: sums by bucket are added up over the buckets (one small row
-    each), and each bucket's own rows are added up in a window of bounded
-    size, so no task sees more than a bucket.
+    each, all of one `within` in one task), and each bucket's own rows are added
+    up in a window. With buckets as many as the root of the rows, neither level
+    gives a task more than a small multiple of that root.
     """
     keys = within + bucket
     cast = {k: v.cast("long") for k, v in sums.items()}

@@ -105,7 +105,7 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learns from docs (doc_id, text, lang); every row given may be used."""
-    known = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)).alias("draw"))
+    known = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1 << 30)).alias("draw"))
     # one number per language, as the model itself has; a thinned set first, so that little text is shuffled
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:

@@ -92,7 +92,7 @@ def indexed(drawn: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
     """shard, slot, sid, index: every index from 0 to need - 1 of each source at one slot."""
     counts = staged(shard_counts(drawn), "draw-counts")
     shards = (counts.agg(F.max("shard")).first()[0] or 0) + 1
-    run = buckets_for(16 * shards)  # about the root of all shards
+    run = buckets_for(shards)
     starts = running(counts.withColumn("__run", F.floor(F.col("shard") / run)), ["sid"], ["__run"], [F.col("shard")], {"start": F.col("n_slots")})
     # one row per source
     got = plan.select("sid", "need").join(counts.groupBy("sid").agg(F.sum("n_slots").alias("got")), "sid", "left").select("sid", "need", F.coalesce("got", F.lit(0)).alias("got"))

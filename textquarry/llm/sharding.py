@@ -25,6 +25,8 @@ from textquarry.llm.common import buckets_for, running, staged
 SHARDS = 24
 ROUNDS = 3
 SALTS = 16
+#: Copies up to which a piece of a group is one bucket; above, the root of all documents.
+MOST_ALIKE = 128
 
 
 def cells(sized: DataFrame) -> DataFrame:
@@ -38,8 +40,8 @@ def propagate(cell: DataFrame, total: int, shards: int = SHARDS, rounds: int = R
     group = ["text_hash", "text_crc32", "has_text"]
     whole = Window.partitionBy(*group)
     state = cell.withColumns({"group_docs": F.sum("docs").over(whole), "group_bytes": F.sum("bytes").over(whole)})
-    pieces = F.ceil(F.col("group_bytes") / F.lit(max(1, capacity // 2))).cast("long")
-    state = state.withColumn("piece", F.when(F.col("group_docs") > 1, F.pmod(F.xxhash64("first", "salt", F.lit("piece")), F.greatest(pieces, F.lit(1)))).otherwise(F.lit(0).cast("long")))
+    state = state.withColumn("pieces", F.greatest(F.ceil(F.col("group_bytes") / F.lit(max(1, capacity // 2))), F.lit(1)).cast("long"))
+    state = state.withColumn("piece", F.when(F.col("group_docs") > 1, F.pmod(F.xxhash64("first", "salt", F.lit("piece")), F.col("pieces"))).otherwise(F.lit(0).cast("long")))
     alone = state.filter("group_docs = 1").withColumn("label", F.col("first"))
     linked = staged(state.filter("group_docs > 1").withColumn("label", F.col("first")), "cells")
     for turn in range(rounds):
@@ -66,13 +68,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     n_docs, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     placed = staged(propagate(cells(sized), total, shards, rounds), "placed")
     keys = ["text_hash", "text_crc32", "has_text", "first", "salt"]
-    by_doc = sized.join(placed.select(*keys, "piece", "group_docs", "label", "docs"), keys)
+    by_doc = sized.join(placed.select(*keys, "piece", "pieces", "group_docs", "label"), keys)
     # the unlinked documents fill what the linked ones leave of each shard; one number per shard comes to the driver
     held = {r["label"]: r["b"] for r in placed.filter("group_docs > 1").groupBy("label").agg(F.sum("bytes").alias("b")).collect()}
     gaps = [max(0.0, total / shards - held.get(s, 0)) for s in range(shards)]
     scale = max(0, total - sum(held.values())) / max(1.0, sum(gaps))
     ends = [sum(gaps[: s + 1]) * scale for s in range(shards - 1)]
-    linked = by_doc.filter("group_docs > 1").withColumns({"kind": F.lit(1), "level": F.lit(0), "part": F.pmod(F.xxhash64("doc_id", F.lit("part")), F.ceil(F.col("docs") / 500))})
+    linked = by_doc.filter("group_docs > 1").withColumns({"kind": F.lit(1), "level": F.lit(0), "part": F.pmod(F.xxhash64("doc_id", F.lit("part")), F.ceil(F.col("group_docs") / F.col("pieces") / max(MOST_ALIKE, buckets_for(n_docs))))})
     alone = by_doc.filter("group_docs = 1").withColumns({"kind": F.when(F.pmod(F.xxhash64("doc_id", F.lit("side")), F.lit(2)) == 0, 0).otherwise(2), "part": F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(buckets_for(n_docs)))})
     alone = running(alone, [], ["part"], [F.col("doc_id"), F.col("text_hash")], {"__before": F.col("size")})
     alone = alone.withColumn("label", F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= F.col("__before") + F.col("size") / 2)))
@@ -80,7 +82,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     level = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
     alone = alone.withColumn("level", F.when(F.col("kind") == 0, level).otherwise(-level)).drop("__before")
     subs = buckets_for(n_docs, shards)
-    columns = ["doc_id", "size", "text_crc32", "text_hash", "label", "kind", "level", "part", F.pmod(F.xxhash64("text_hash", "piece"), F.lit(subs)).alias("sub")]
+    # groups stay together in one `sub`; documents without a group are spread by `part` already
+    sub = F.when(F.col("kind") == 1, F.pmod(F.xxhash64("text_hash", "piece"), F.lit(subs))).otherwise(F.lit(0).cast("long"))
+    columns = ["doc_id", "size", "text_crc32", "text_hash", "label", "kind", "level", "part", sub.alias("sub")]
     by_doc = linked.select(*columns).unionByName(alone.select(*columns))
     signed = F.when(F.col("kind") == 0, F.col("size")).when(F.col("kind") == 2, -F.col("size"))
     order = [signed, F.col("text_hash"), F.col("text_crc32"), F.col("doc_id")]
