@@ -13,13 +13,14 @@ one block, spans of all blocks are merged per document.
 
 Defined cases: a null or wordless text has no words and no hits; an item of
 fewer words than a window is one window of its own, an item without words
-none; repeated items count by item_id, repeated documents get equal results;
-empty tables give empty results or no hits; extra columns pass through if kept.
+none; repeated items count by item_id, items without an id as one that is not
+listed by name; repeated documents get equal results;
+empty tables give empty results or no hits; extra columns pass through if kept
+(names that begin with two underscores are its own).
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from textquarry.llm.common import staged
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SAMPLE_EVERY = 8
 #: Lower case for A-Z, a blank for everything that is no word character; bytes from 0x80 on stay.
 FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
@@ -121,25 +122,39 @@ class FMIndex:
         return out
 
 
+def _distinct(rows: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, the places in the last array where each one's owners begin and end, and these owners."""
+    key = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        key = (key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], (rows[order[1:]] != rows[order[:-1]]).any(axis=1)])
+    if (new[1:] & (key[order[1:]] == key[order[:-1]])).any():  # two rows of one key may alternate
+        order = np.lexsort(rows.T)
+        new = np.concatenate([[True], (rows[order[1:]] != rows[order[:-1]]).any(axis=1)])
+    return rows[order[new]], np.append(np.flatnonzero(new), len(rows)), owners[order]
+
+
 class Windows:
-    """The benchmark's distinct windows as numbers, with the items that hold them."""
+    """The benchmark's distinct windows as numbers, with the items that hold them; some 60 bytes for each word of an item."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            coded = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
-            k = min(window, len(coded))
-            for i in range(len(coded) - k + 1 if k else 0):
-                found.setdefault(tuple(coded[i : i + k]), set()).add(item)
-        self.groups: list[tuple[np.ndarray, list[list[int]]]] = []
-        for k in sorted({len(w) for w in found}):
-            rows = sorted(w for w in found if len(w) == k)
-            self.groups.append((np.array(rows, np.int64), [sorted(found[w]) for w in rows]))
+        self.item_ids = [item for item, _ in items]
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for number, (_, text) in enumerate(items):
+            words = words_of(text)
+            coded = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words), np.int32, len(words))
+            if k := min(window, len(coded)):
+                by_length.setdefault(k, []).append((np.lib.stride_tricks.sliding_window_view(coded, k), number))
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _, found in sorted(by_length.items()):
+            self.groups.append(_distinct(np.concatenate([rows for rows, _ in found]), np.repeat([n for _, n in found], [len(rows) for rows, _ in found])))
         self.span = len(self.vocabulary) + 2
-        pairs = [g[:, :-1].ravel() * self.span + g[:, 1:].ravel() for g, _ in self.groups if g.shape[1] > 1]
+        pairs = [(g[:, :-1].astype(np.int64) * self.span + g[:, 1:]).ravel() for g, _, _ in self.groups if g.shape[1] > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.singles = np.concatenate([g.ravel() for g, _ in self.groups if g.shape[1] == 1] or [np.zeros(0, np.int64)])
+        self.singles = np.concatenate([g.ravel() for g, _, _ in self.groups if g.shape[1] == 1] or [np.zeros(0, np.int32)])
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.pairs % (1 << 20)] = True
 
@@ -184,7 +199,7 @@ def search_shard(texts: list[str | None], windows: Windows) -> list[tuple[int, l
     origin[place] = where
     index = FMIndex(seq)
     hit_at, hit_len, hit_items = [], [], []
-    for rows, items in windows.groups:
+    for rows, bounds, owners in windows.groups:
         low, high = index.search(rows)
         some = np.flatnonzero(high > low)
         if not len(some):
@@ -194,7 +209,7 @@ def search_shard(texts: list[str | None], windows: Windows) -> list[tuple[int, l
         inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         hit_at.append(origin[index.locate(low[owner] + inner)])
         hit_len.append(np.full(len(owner), rows.shape[1], np.int64))
-        hit_items.extend(items[w] for w in owner)
+        hit_items.extend(owners[bounds[w] : bounds[w + 1]] for w in owner)
     if not hit_at:
         return out
     at, length = np.concatenate(hit_at), np.concatenate(hit_len)
@@ -204,7 +219,8 @@ def search_shard(texts: list[str | None], windows: Windows) -> list[tuple[int, l
     for group in np.split(order, bounds[1:]):
         d = int(doc[group[0]])
         starts, ends = merged(at[group] - first[d], at[group] - first[d] + length[group])
-        out[d] = (sizes[d], starts, ends, sorted({i for g in group for i in hit_items[g]}))
+        items = {windows.item_ids[i] for i in np.unique(np.concatenate([hit_items[g] for g in group]))}
+        out[d] = (sizes[d], starts, ends, sorted(items, key=lambda i: (i is None, i)))
     return out
 
 
@@ -254,12 +270,12 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     for b in range(blocks * 2):
         one = _probe(base.select("__row", F.col("__text").alias("text")), [tuple(r) for r in items.filter(part == b).collect()], ["__row"])
         found = one if found is None else found.unionByName(one)
-    found = found.groupBy("__row").agg(F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__starts")).alias("s"), F.flatten(F.collect_list("__ends")).alias("e"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
+    found = found.groupBy("__row").agg(F.max("__n_words").alias("__n_words"), F.flatten(F.collect_list("__starts")).alias("__from"), F.flatten(F.collect_list("__ends")).alias("__to"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
     rows = base.drop("__text").join(found, "__row")
 
     def joined(rows_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in:
-            both = [merged(np.array(s), np.array(e)) if s else ([], []) for s, e in zip(batch.column("s").to_pylist(), batch.column("e").to_pylist(), strict=True)]
+            both = [merged(np.array(s), np.array(e)) if s else ([], []) for s, e in zip(batch.column("__from").to_pylist(), batch.column("__to").to_pylist(), strict=True)]
             arrays = [batch.column("__n_words"), pa.array([x[0] for x in both], pa.list_(pa.int64())), pa.array([x[1] for x in both], pa.list_(pa.int64())), batch.column("__items")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *arrays], names=[*keep, *FOUND.names])
 
@@ -275,5 +291,3 @@ def items_digest():
     """SHA-256 of the items, sorted as strings and comma-joined."""
     return F.sha2(F.array_join(F.array_sort(F.transform("__items", lambda i: i.cast("string"))), ","), 256)
 
-
-EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
