@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from textquarry.llm.common import clear_scratch
+
 WORDS = [f"{a}{b}" for a in ("ba", "de", "ko", "lu", "mi", "no", "ra", "se", "ti", "vo") for b in ("n", "rt", "sk", "ll", "mer", "tion", "x", "dle")]
 EXTRA = "size long, shard int, slot long, label string, rep long, spans string, block long, start long, target double, kept boolean, node long"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,6 +38,12 @@ def frame(spark, rows, extra: bool = True):
     return docs
 
 
+@pytest.fixture(scope="session", autouse=True)
+def scratch(spark):
+    yield
+    clear_scratch(spark)
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     return odd_rows()

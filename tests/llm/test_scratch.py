@@ -1,5 +1,7 @@
 import glob
 import os
+import shutil
+import uuid
 from types import SimpleNamespace
 
 import pytest
@@ -10,11 +12,12 @@ from textquarry.llm import common
 def test_own_tables_are_cleared_alone(spark):
     kept = common.staged(spark.range(3).toDF("n"), "mine")
     top = common.shared_dir(spark).removeprefix("file:")
-    other = f"{top}/textquarry/another-application/t"
+    other = f"{top}/textquarry/another-{uuid.uuid4().hex}/t"
     os.makedirs(other)
     assert kept.count() == 3 and glob.glob(f"{top}/textquarry/{spark.sparkContext.applicationId}/mine-*")
     common.clear_scratch(spark)
     assert not glob.glob(f"{top}/textquarry/{spark.sparkContext.applicationId}") and os.path.isdir(other)
+    shutil.rmtree(os.path.dirname(other))
 
 
 @pytest.mark.parametrize("master", ["yarn", "spark://h:7077", "local-cluster[2,1,1024]"])

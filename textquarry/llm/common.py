@@ -22,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
-        found = tempfile.mkdtemp(prefix="textquarry-")
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 
