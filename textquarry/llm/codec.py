@@ -39,28 +39,30 @@ class _Range:
         self.low = np.zeros(lanes, U)
         self.range = np.full(lanes, (1 << 64) - 1, U)
         self.decoding = payloads is not None
-        self.at = np.zeros(lanes, np.int64)
         if payloads is None:
-            self._widen(lanes, steps + ROOM * ROOM_WORDS)
+            self.at = np.zeros(lanes, np.int64)
+            self._widen(lanes, steps * 3 // 4 + ROOM * ROOM_WORDS)
         else:
             sizes = np.array([len(p) // 2 for p in payloads], np.int64)
             self.words = np.frombuffer(b"".join(payloads) + bytes(64), "<u2")
-            self.base = np.cumsum(sizes) - sizes
+            self.at = np.cumsum(sizes) - sizes
             self.code = np.zeros(lanes, U)
             for _ in range(4):
-                self.code = (self.code << _WORD) | self.words[np.minimum(self.base + self.at, len(self.words) - 1)]
+                self.code = (self.code << _WORD) | self.words.take(self.at, mode="clip")
                 self.at += 1
 
     def _widen(self, lanes: int, width: int) -> None:
         fresh = np.zeros((lanes, width), "<u2")
+        done = self.at - self.base if hasattr(self, "width") else self.at
         if hasattr(self, "width"):
             fresh[:, : self.width] = self.words.reshape(lanes, self.width)
         self.width, self.words = width, fresh.reshape(-1)
         self.base = np.arange(lanes, dtype=np.int64) * width
+        self.at = self.base + done
 
     def make_room(self) -> None:
         """Called every ROOM steps: room for the words until the next call."""
-        if not self.decoding and self.at.max() + ROOM * ROOM_WORDS > self.width:
+        if not self.decoding and (self.at - self.base).max() + ROOM * ROOM_WORDS > self.width:
             self._widen(len(self.at), self.width * 3 // 2 + ROOM * ROOM_WORDS)
 
     def settle(self) -> None:
@@ -71,13 +73,12 @@ class _Range:
             tight = np.flatnonzero((low ^ (low + size)) >= _TOP)
             if len(tight):
                 size[tight] = (U(0) - low[tight]) & _MASK
-            at = self.at.take(busy, mode="clip")
-            place = self.base.take(busy, mode="clip") + at
+            place = self.at.take(busy, mode="clip")
             if self.decoding:
                 self.code[busy] = (self.code.take(busy, mode="clip") << _WORD) | self.words.take(place, mode="clip")
             else:
                 self.words[place] = low >> _HEAD
-            self.at[busy] = at + 1
+            self.at[busy] = place + 1
             low, size = low << _WORD, size << _WORD
             self.low[busy], self.range[busy] = low, size
             busy = busy[((low ^ (low + size)) < _TOP) | (size < _BOTTOM)]
@@ -133,10 +134,10 @@ class _Range:
 
     def payloads(self) -> list[bytes]:
         for _ in range(4):
-            self.words[self.base + self.at] = self.low >> _HEAD
+            self.words[self.at] = self.low >> _HEAD
             self.at += 1
             self.low = self.low << _WORD
-        return [self.words[b : b + n].tobytes() for b, n in zip(self.base, self.at, strict=True)]
+        return [self.words[b:e].tobytes() for b, e in zip(self.base, self.at, strict=True)]
 
 
 def _learned(table: np.ndarray, slot: np.ndarray, p: np.ndarray, goal: np.ndarray) -> None:
@@ -164,8 +165,8 @@ def _run(lanes: int, steps: int, ids: np.ndarray | None, payloads: list[bytes] |
     counts = [np.ones((lanes, 256), np.uint16) for _ in range(2)]
     bounds = [np.zeros((lanes, 257), np.uint16) for _ in range(2)]
     flat_counts, flat_bounds = [c.reshape(-1) for c in counts], [b.reshape(-1) for b in bounds]
-    out = np.zeros((steps, lanes), np.uint16)
-    given = None if ids is None else np.ascontiguousarray(ids.T.astype(np.uint32))
+    given = None if ids is None else np.ascontiguousarray(ids.T.astype(np.uint16))
+    out = np.zeros((steps if coder.decoding else 0, lanes), np.uint16)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     x = x_first = x_second = None
     for t in range(steps):
@@ -196,7 +197,7 @@ def _run(lanes: int, steps: int, ids: np.ndarray | None, payloads: list[bytes] |
         both = chance.copy()
         both[differ] += np.maximum((4096 - chance[differ]) * (np.minimum(p_s, 65000) >> 4) >> 12, 1)
         if given is not None:
-            x = given[t]
+            x = given[t].astype(np.uint32)
             x_first = x == first
             x_second = other & (x == guess_1) & ~x_first
         hit, hit_2 = coder.pick(chance.astype(U), both.astype(U), x_first, x_second)
@@ -221,7 +222,8 @@ def _run(lanes: int, steps: int, ids: np.ndarray | None, payloads: list[bytes] |
         coder.settle()
         one[slot_1] = _updated(entry_1, guess_1, sure_1, now)
         two[slot_2] = _updated(entry_2, guess_2, sure_2, now)
-        out[t] = now
+        if coder.decoding:
+            out[t] = now
         before, last = last, now.astype(np.int64)
     return out.T, [] if coder.decoding else coder.payloads()
 
