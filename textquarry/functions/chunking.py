@@ -147,10 +147,47 @@ def _python_parts(content: str) -> list[tuple[int, int]] | None:
     return out
 
 
-def _brace_parts(content: str) -> list[tuple[int, int]]:
-    """Line ranges of top-level constructs of languages with braces; strings and comments do not count."""
-    noise = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`[^`]*`", re.S)
-    bare = noise.sub(lambda m: re.sub(r"[^\n]", "x" if m[0][0] in "\"'`" else " ", m[0]), content)
+_STRING = r'"(?:\\.|[^"\\\n])*"'
+_CHARACTER = r"'(?:\\u\{?[0-9A-Fa-f]+\}?|\\x[0-9A-Fa-f]{2}|\\[0-7]{1,3}|\\.|[^'\\\n])'"
+#: A regular expression stands where a value may begin; elsewhere a slash divides.
+_REGEX = r"(?P<lead>(?:^|[(,=:\[!&|?{};]|\breturn\b|=>)[ \t]*)/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+#: What is no code in a language with braces, beside comments. A lifetime (') has no second quote near it, so it is none of these.
+_LITERALS = {
+    "go": [r"`[^`]*`", _STRING, _CHARACTER],
+    "rust": [r'\bb?r(?P<hashes>#*)".*?"(?P=hashes)', r'"(?:\\.|[^"\\])*"', _CHARACTER],
+    "java": [r'"""(?:\\.|[^\\])*?"""', _STRING, _CHARACTER],
+    "javascript": [r"`(?:\\.|[^`\\])*`", _STRING, r"'(?:\\.|[^'\\\n])*'", _REGEX],
+}
+_LITERALS["typescript"] = _LITERALS["javascript"]
+_NOISE = {lang: re.compile("|".join([r"//[^\n]*", r"(?P<block>/\*)", *literals]), re.S | re.M) for lang, literals in _LITERALS.items()}
+
+
+def bare_code(content: str, lang: str) -> str:
+    """content with comments as blanks and literals as x, in brackets if they have several lines; as long as before. Block comments of Rust nest."""
+    out, at = [], 0
+    while m := _NOISE[lang].search(content, at):
+        lead = m.groupdict().get("lead") or ""
+        out.append(content[at : m.start()] + lead)
+        end, filler = m.end(), "x"
+        if m["block"]:
+            depth, filler = 1, " "
+            while depth and (mark := re.compile(r"/\*|\*/").search(content, end)):
+                depth += (1 if lang == "rust" else 0) if mark[0] == "/*" else -1
+                end = mark.end()
+            end = len(content) if depth else end
+        elif m[0].startswith("//"):
+            filler = " "
+        blank = re.sub(r"[^\n]", filler, content[m.start() + len(lead) : end])
+        if filler == "x" and "\n" in blank:  # no construct ends inside a literal
+            blank = f"({blank[1:-1]})"
+        out.append(blank)
+        at = end
+    return "".join(out) + content[at:]
+
+
+def _brace_parts(content: str, lang: str) -> list[tuple[int, int]]:
+    """Line ranges of top-level constructs of languages with braces; literals and comments do not count."""
+    bare = bare_code(content, lang)
     out, depth, first = [], 0, None
     for i, line in enumerate(bare.split("\n")):
         if line.strip() and first is None:
@@ -182,7 +219,7 @@ def split_code(content: str, lang: str, target: int = TARGET, overlap: float = O
     """Chunks of a source file: whole top-level constructs up to the target, larger ones split as text."""
     raw = content.encode()
     target = target or TARGET
-    parts = (_python_parts(content) if lang == "python" else _brace_parts(content)) if lang in _BOUNDARY else None
+    parts = (_python_parts(content) if lang == "python" else _brace_parts(content, lang)) if lang in _BOUNDARY else None
     if not parts:
         return split_text(content, target, overlap)
     starts = [0, *accumulate(len(x) + 1 for x in raw.split(b"\n"))]
