@@ -33,11 +33,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from textquarry.plans import change_queries  # noqa: F401  it adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: _SQL[name] for name in queries() if name in _SQL}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
