@@ -13,7 +13,7 @@ QREL_LINE = 1 << 20
 def read_folder(spark: SparkSession, collection: str, root: str, glob: str = globs.DEFAULT_GLOB) -> DataFrame:
     """collection, path (relative), absolute_path, content, updated_at of the files under root that fit the glob.
 
-    Files that cannot be read are skipped, and so count as gone.
+    Files that cannot be read are skipped, and so count as gone. So are empty files, which Spark does not list.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
     full = F.regexp_replace(F.col("path"), "^file:/+", "/")
