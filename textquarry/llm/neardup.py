@@ -13,8 +13,9 @@ holds several components is compared exhaustively on full sets, if its sets
 have at most FULL shingles together and at most WORK comparisons are left. If
 it is larger and only few members stand outside its largest component, they are
 compared with all; else the node branches again, along BRANCHES paths of STEPS
-more selected tokens each, and so on. Nodes that are still mixed after LEVELS
-levels are compared in full by a join, cut into parts by a salt. Single pairs
+more selected tokens each, and so on. In nodes that are still mixed after LEVELS
+levels, two members meet if they share a token among the rarest of each that
+two linked sets cannot miss (a prefix join, which is exact). Single pairs
 pass a sketch filter 4.5 standard errors wide (it stops one linked pair in
 300,000), and are confirmed on their full sets of 64-bit hashes. Rows of a node
 that holds very many members are never dealt out by node.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import key_joined, maybe_among, semi_joined, staged
@@ -252,7 +253,32 @@ def _compared(nodes: DataFrame, docs: DataFrame, size: int, num: int, den: int)
     return nodes.join(sets.hint("shuffle_merge"), "rep").groupBy("node").applyInArrow(run, "a long, b long")
 
 
-def _deeper(nodes: DataFrame, reps: DataFrame, labels: DataFrame, level: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def _prefix_pairs(nodes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of a node (node, rep, label) with different labels, no linked pair left out.
+
+    Two sets of n and m tokens with den * common >= num * union share, in any one
+    order of tokens, one of the first n - ceil(n * num / den) + 1 of the one and
+    of the first so many of the other. Rare tokens of the node come first, so few
+    members meet at one token.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                tokens = shingle_set(text.as_py(), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), rep.as_py(), np.int64)), pa.array(np.full(len(tokens), len(tokens), np.int64)), pa.array(tokens)], names=["rep", "n", "token"])
+
+    tokens = staged(_only(docs, nodes.select("rep").distinct()).mapInArrow(run, "rep long, n long, token long"), "tokens")
+    rows = staged(nodes.join(tokens, "rep").select("node", "rep", "label", F.col("n").alias("size"), "token"), "held")
+    uses = rows.groupBy("node", "token").agg(F.count("*").alias("uses"))
+    ranked = rows.join(uses, ["node", "token"]).withColumn("place", F.row_number().over(Window.partitionBy("node", "rep").orderBy("uses", "token")))
+    prefix = staged(ranked.filter((F.col("place") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1) & (F.col("uses") > 1)).select("node", "token", "rep", "label", "size"), "prefix")
+    other = prefix.toDF("node", "token", "rep_b", "label_b", "size_b")
+    both = prefix.join(other, ["node", "token"]).filter((F.col("rep") < F.col("rep_b")) & (F.col("label") != F.col("label_b")) & (F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num))
+    return both.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
+
+
+def _deeper(nodes: DataFrame, reps: DataFrame, labels: DataFrame, level: int, docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Pairs to test, nodes to go on with and nodes to compare in full, of nodes that one pivot has not finished."""
     mixed = staged(_labelled(nodes, labels), "mixed")
     if mixed.isEmpty():
@@ -269,15 +295,14 @@ def _deeper(nodes: DataFrame, reps: DataFrame, labels: DataFrame, level: int) ->
     if top.isEmpty():
         return mixed.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b")), None, full
     heavy = staged(key_joined(mixed, top.select("node", "n"), "node", total), "heavy")
-    if level >= LEVELS:
-        finish, top = top, top.limit(0)
-    else:
-        finish, top = top.filter(rest <= PIVOTS), top.filter(rest > PIVOTS)
+    finish, top = top.filter(rest <= PIVOTS), top.filter(rest > PIVOTS)
     salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt")
     outside = key_joined(heavy, finish.select("node", "top", "n"), "node", total).filter("label <> top")
     outside = outside.select("node", F.col("rep").alias("x"), F.col("label").alias("x_label"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     pairs = heavy.select("*", salt).join(outside, ["node", "salt"]).filter("label <> x_label").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
     go = key_joined(heavy, top.select("node", "n"), "node", total)
+    if level >= LEVELS:
+        return pairs.unionByName(_prefix_pairs(go, docs, size, num, den)), go.select("node", "rep").limit(0), full
     tokens = [F.element_at("coords", F.pmod(F.xxhash64("node", "path", F.lit(k)), F.lit(COORDS)).cast("int") + 1) for k in range(STEPS)]
     child = go.join(reps.select("rep", "coords"), "rep").withColumn("path", F.explode(F.array(*[F.lit(p) for p in range(BRANCHES)]))).select("rep", "label", F.xxhash64("node", "path", *tokens).alias("node"))
     child = staged(child.distinct(), "grown")
@@ -314,7 +339,7 @@ def classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
         labels = components(links)
         if level == LEVELS:
             break
-        pairs, large, full = _deeper(large, reps, labels, level + 1)
+        pairs, large, full = _deeper(large, reps, labels, level + 1, docs, size, num, den)
         if not full.isEmpty():
             links = links.unionByName(staged(_compared(full, docs, size, num, den), "links"))
             labels = components(links)
