@@ -37,7 +37,7 @@ BLOCK = codec.MOST_IDS
 LANES = 4096
 FILE_IDS = 16_000_000
 #: Text that is tokenized at a time, in bytes, and one document at least.
-PIECE_BYTES = 12 << 20
+PIECE_BYTES = 24 << 20
 #: Parts whose ids a worker keeps; beyond, it begins anew.
 KNOWN_PARTS = 1_500_000
 #: Parts that go to the library in one text.
@@ -132,19 +132,15 @@ class Words:
         sizes = self.sizes[of]
         word_ids = self.store[_ranges(self.begin[of], sizes)]
         word_sizes = sizes.reshape(-1, 2).sum(axis=1)
-        word_begin = np.cumsum(word_sizes) - word_sizes
-        used = coded.indices.to_numpy()
-        counts = word_sizes[used]
-        sums = np.concatenate([[0], np.cumsum(counts)])
+        # every word's ids as bytes, END_ID as one more, put one after the other in the order of the texts
+        offsets = np.concatenate([[0], np.cumsum(word_sizes * 2), [2 * len(word_ids) + 2]]).astype(np.int32)
+        held = pa.Array.from_buffers(pa.binary(), len(word_sizes) + 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(word_ids.tobytes() + np.array([END_ID], "<u2").tobytes())])
         bounds = np.frombuffer(split.buffers()[1], np.int32)[split.offset : split.offset + len(split) + 1]
-        ends = sums[bounds[1:] - bounds[0]]
-        out = np.empty(sums[-1] + len(texts), "<u2")
-        last = ends + np.arange(len(texts))
-        mine = np.ones(len(out), bool)
-        mine[last] = False
-        out[last] = END_ID
-        out[mine] = word_ids[_ranges(word_begin[used], counts)]
-        return out, np.diff(last, prepend=-1)
+        used = np.insert(coded.indices.to_numpy(), bounds[1:] - bounds[0], len(word_sizes))
+        taken = held.take(pa.array(used))
+        places = np.frombuffer(taken.buffers()[1], np.int32)
+        ends = places[bounds[1:] - bounds[0] + np.arange(1, len(texts) + 1)]
+        return np.frombuffer(taken.buffers()[2], "<u2")[: places[len(used)] // 2], np.diff(ends, prepend=0).astype(np.int64) // 2
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
