@@ -32,6 +32,8 @@ PASSES = 3
 CHUNK = 4096
 #: Parts of the unit interval in which a draw looks up its source; with many sources, four for each.
 GUIDE = 4096
+#: Tables of a few rows for each source go to all tasks up to so many sources (some 20 MB); beyond, joins are shuffled.
+MOST_SENT = 100_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -54,6 +56,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
     return ranked.select("sid", "source", "source_size", F.coalesce(F.least("cap", F.col("x") * F.col("w")), F.lit(0.0)).alias("target"))
 
 
+def _sent(rows: DataFrame, n_sources: int) -> DataFrame:
+    """rows, of which each source has a few, as the side of a join. Spark cannot tell sizes behind an explode."""
+    return F.broadcast(rows) if n_sources <= MOST_SENT else rows.hint("shuffle_merge")
+
+
 def slot_plan(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per source with words: full and all blocks, complete passes, words left for the last pass, and the slots it needs."""
     size, take = F.col("source_size"), F.col("take_all")
@@ -80,7 +87,7 @@ def draws(plan: DataFrame, per_shard: int = SLOTS_PER_SHARD, seed: str = "mix")
     each = each.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(per_shard), F.lit(n_slots) - F.col("shard") * per_shard) - 1)))
     each = each.withColumn("u", drawn_unit(F.lit(seed), F.lit("draw"), "shard", "slot"))
     each = each.withColumn("part", F.floor(F.col("u") * guide))
-    return each.join(looked_up, "part").filter("low <= u and u < high").select("shard", "slot", "sid")
+    return each.join(_sent(looked_up, n_sources), "part").filter("low <= u and u < high").select("shard", "slot", "sid")
 
 
 def shard_counts(slot_rows: DataFrame) -> DataFrame:
@@ -99,8 +106,9 @@ def indexed(drawn: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     over, under = F.greatest(F.col("got") - F.col("need"), F.lit(0)), F.greatest(F.col("need") - F.col("got"), F.lit(0))
     got = staged(got.select("sid", "need", "got", F.coalesce(F.sum(over).over(before), F.lit(0)).alias("over_before"), F.coalesce(F.sum(under).over(before), F.lit(0)).alias("under_before")), "draw-totals")
+    n_sources = got.count()
     place = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1
-    numbered = drawn.withColumn("place", place).join(starts.select("shard", "sid", "start"), ["shard", "sid"]).join(got, "sid")
+    numbered = drawn.withColumn("place", place).join(starts.select("shard", "sid", "start").hint("shuffle_merge"), ["shard", "sid"]).join(_sent(got, n_sources), "sid")
     numbered = numbered.withColumn("index", permuted(F.col("start") + F.col("place"), F.col("got"), [F.lit(seed), F.lit("index"), F.col("sid")]))
     numbered = staged(numbered.select("shard", "slot", "sid", "index", "need", (F.col("over_before") + F.col("index") - F.col("need")).alias("rank")), "numbered")
     kept = numbered.filter("index < need").select("shard", "slot", "sid", "index")
@@ -108,7 +116,8 @@ def indexed(drawn: DataFrame, plan: DataFrame, seed: str = "mix") -> DataFrame:
     # what a source still needs, as ranks among the spare slots; two explodes, so that many tasks make them
     short = got.filter("got < need").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("need") - F.col("got") - 1) / CHUNK))))
     short = short.withColumn("i", F.explode(F.sequence(F.col("part") * CHUNK, F.least((F.col("part") + 1) * CHUNK, F.col("need") - F.col("got")) - 1)))
-    given = spare.join(short.select("sid", (F.col("got") + F.col("i")).alias("index"), (F.col("under_before") + F.col("i")).alias("rank")), "rank")
+    short = short.select("sid", (F.col("got") + F.col("i")).alias("index"), (F.col("under_before") + F.col("i")).alias("rank"))
+    given = spare.join(short.hint("shuffle_merge"), "rank")
     return kept.unionByName(given.select("shard", "slot", "sid", "index"))
 
 
@@ -116,11 +125,12 @@ def slots(targets: DataFrame, block: int = BLOCK, per_shard: int = SLOTS_PER_SHA
     """One row per output slot: shard, slot, sid, block, pass_no, length of the block, take (words it takes from the block's head)."""
     plan = staged(slot_plan(targets, block), "plan")
     rows = indexed(staged(draws(plan, per_shard, seed), "draws"), plan, seed)
-    rows = rows.join(plan, "sid").withColumns({"pass_no": F.floor(F.col("index") / F.col("n_blocks")).cast("long"), "j": F.pmod("index", F.col("n_blocks"))})
+    n_sources = plan.count()
+    rows = rows.join(_sent(plan, n_sources), "sid").withColumns({"pass_no": F.floor(F.col("index") / F.col("n_blocks")).cast("long"), "j": F.pmod("index", F.col("n_blocks"))})
     rows = staged(rows, "slots")
     # one row for each pass of each source
     opened = rows.filter("j = 0").select("sid", "pass_no", (F.col("shard") * per_shard + F.col("slot")).alias("opened"))
-    each = rows.join(opened, ["sid", "pass_no"])
+    each = rows.join(_sent(opened, n_sources), ["sid", "pass_no"])
     each = each.withColumn("block", F.when(F.col("j") < F.col("full"), permuted(F.col("j"), F.col("full"), [F.lit(seed), F.col("sid"), F.col("pass_no"), F.col("opened")])).otherwise(F.col("full")))
     length = F.when(F.col("block") < F.col("full"), F.lit(block)).otherwise(F.col("source_size") - F.col("full") * block)
     taken = F.when(F.col("pass_no") == F.col("passes"), F.least(length, F.col("rest") - F.col("j") * block)).otherwise(length)
@@ -130,7 +140,7 @@ def slots(targets: DataFrame, block: int = BLOCK, per_shard: int = SLOTS_PER_SHA
 def packed(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """sized with sid, source_size, target and start, the place of its first word in its source's stream."""
     t = targets.select("sid", F.col("source").alias("__source"), "source_size", "target")
-    known = sized.join(t, sized["source"].eqNullSafe(t["__source"]), "left").drop("__source")
+    known = sized.join(_sent(t, targets.count()), sized["source"].eqNullSafe(t["__source"]), "left").drop("__source")
     known = known.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(buckets_for(sized.count()))))
     return running(known, ["sid"], ["__bucket"], [F.col("doc_id"), F.col("size")], {"start": F.col("size")}).drop("__bucket")
 
