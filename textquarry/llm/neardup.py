@@ -49,6 +49,8 @@ PIVOTS = 16
 FULL = 1 << 20
 WORK = 40_000_000
 SALTS = 64
+#: Word hashes that a worker keeps.
+KNOWN_WORDS = 200_000
 BRANCHES = 4
 STEPS = 3
 LEVELS = 5
@@ -73,7 +75,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    if len(_word_hashes) > 400_000:
+    if len(_word_hashes) > KNOWN_WORDS:
         _word_hashes.clear()
     known = _word_hashes
     hashes = np.empty(n, np.uint64)
