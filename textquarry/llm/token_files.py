@@ -37,9 +37,9 @@ BLOCK = codec.MOST_IDS
 LANES = 4096
 FILE_IDS = 16_000_000
 #: Text that is tokenized at a time, in bytes, and one document at least.
-PIECE_BYTES = 24 << 20
+PIECE_BYTES = 8 << 20
 #: Parts whose ids a worker keeps; beyond, it begins anew.
-KNOWN_PARTS = 1_500_000
+KNOWN_PARTS = 1_000_000
 #: Parts that go to the library in one text.
 ROW_PARTS = 2000
 #: ASCII marks but the apostrophe, which begins contractions; \\x00 and other controls are no marks here.
