@@ -75,9 +75,8 @@ class LexicalIndex:
 
     def of_terms(self, terms: list[str]) -> LexicalIndex:
         """The same with the postings of these terms alone: only their buckets are read."""
-        spark = self.postings.sparkSession
-        places = spark.createDataFrame([(t,) for t in terms], "term string").select(term_bucket(F.col("term")).alias("b")).distinct().collect()
-        here = self.postings.filter(F.col("term_bucket").isin([r["b"] for r in places]) & F.col("term").isin(terms))
+        buckets = [term_bucket(F.lit(t)) for t in terms]  # constants to the planner
+        here = self.postings.filter(F.col("term_bucket").isin(*buckets) & F.col("term").isin(terms))
         return LexicalIndex(here, self.lengths, self.corpus, self.analyzer)
 
 
