@@ -1,240 +1,215 @@
-"""Adaptive context-mixing range coder for token ids, many blocks in step.
-
-Blocks are independent: each starts with fresh models. All blocks of a group
-advance together, one id at a time, so every step is a handful of array
-operations over the group. An id is coded in at most two moves:
-1. whether it equals the order-2 prediction (or, where the last two ids are
-   new, the order-1 prediction), else the order-1 prediction if that differs, or
-   neither. The first chance is a mix of two adaptive ones, by each order's
-   confidence, with a weight that follows the better; the second is adaptive too;
-2. if neither, by order 0: adaptive counts of its high byte, then of its low byte.
-Encoder and decoder run the same model code. The range coder keeps 64 bits of
-state and moves 16 bits at a time.
+"""Context-mixing range coder for token ids, many rows in step, with predictions fitted to each group of rows.
+
+The rows of a group share one model, which its payload carries:
+* order 2 and order 1: the id that most often follows the last two ids (by a hash of them) and the last one, each with a
+  level of confidence, from its share of what follows there;
+* order 0: the frequencies of the ids that neither foretells;
+* the mix: for each pair of levels, how much of the range the surer guess, the other one and order 0 get.
+An id is coded in one move. Rows are coded on their own from empty contexts, so one can be decoded without the others.
+Encoder and decoder go through all rows of a group together, one id of each at a time, by array operations. The range
+coder keeps 64 bits of state and moves 32 bits at a time.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
-TABLE_BITS = 10
-STEP = 12  # counts stay under 2 ** 16 within MOST_IDS ids
 MOST_IDS = 4096
-ROOM = 64  # steps between two looks at the room that is left
-ROOM_WORDS = 8  # more words than one id can take
+CHUNK = 1 << 17  # ids whose places in the range the encoder finds at a time
 U = np.uint64
-#: An id is coded from a range of 2 ** 44 at least: 12 bits for the choice and 16 for each byte leave it above 0.
-_TOP, _BOTTOM, _MASK = U(1 << 48), U(1 << 44), U((1 << 44) - 1)
-_WORD, _HEAD, _TWELVE, _SAFE = U(16), U(48), U(12), U(34)
-
-
-def _refreshed(t: int) -> bool:
-    """Whether order 0 takes its counts into use before step t: often at first, then every 128 steps."""
-    return t % 128 == 0 or (t < 128 and t % 16 == 0) or t == 8
-
-
-class _Range:
-    """A carryless range coder for each lane; payloads given: it decodes."""
-
-    def __init__(self, lanes: int, steps: int, payloads: list[bytes] | None):
-        self.low = np.zeros(lanes, U)
-        self.range = np.full(lanes, (1 << 64) - 1, U)
-        self.decoding = payloads is not None
-        if payloads is None:
-            self.at = np.zeros(lanes, np.int64)
-            self._widen(lanes, steps * 3 // 4 + ROOM * ROOM_WORDS)
-        else:
-            sizes = np.array([len(p) // 2 for p in payloads], np.int64)
-            self.words = np.frombuffer(b"".join(payloads) + bytes(64), "<u2")
-            self.at = np.cumsum(sizes) - sizes
-            self.code = np.zeros(lanes, U)
-            for _ in range(4):
-                self.code = (self.code << _WORD) | self.words.take(self.at, mode="clip")
-                self.at += 1
-
-    def _widen(self, lanes: int, width: int) -> None:
-        fresh = np.zeros((lanes, width), "<u2")
-        done = self.at - self.base if hasattr(self, "width") else self.at
-        if hasattr(self, "width"):
-            fresh[:, : self.width] = self.words.reshape(lanes, self.width)
-        self.width, self.words = width, fresh.reshape(-1)
-        self.base = np.arange(lanes, dtype=np.int64) * width
-        self.at = self.base + done
-
-    def make_room(self) -> None:
-        """Called every ROOM steps: room for the words until the next call."""
-        if not self.decoding and (self.at - self.base).max() + ROOM * ROOM_WORDS > self.width:
-            self._widen(len(self.at), self.width * 3 // 2 + ROOM * ROOM_WORDS)
-
-    def settle(self) -> None:
-        """Moves finished words out (or in) for all lanes that have any; called after every id."""
-        busy = np.flatnonzero(((self.low ^ (self.low + self.range)) < _TOP) | (self.range < _BOTTOM))
-        while len(busy):
-            low, size = self.low.take(busy, mode="clip"), self.range.take(busy, mode="clip")
-            tight = np.flatnonzero((low ^ (low + size)) >= _TOP)
-            if len(tight):
-                size[tight] = (U(0) - low[tight]) & _MASK
-            place = self.at.take(busy, mode="clip")
-            if self.decoding:
-                self.code[busy] = (self.code.take(busy, mode="clip") << _WORD) | self.words.take(place, mode="clip")
-            else:
-                self.words[place] = low >> _HEAD
-            self.at[busy] = place + 1
-            low, size = low << _WORD, size << _WORD
-            self.low[busy], self.range[busy] = low, size
-            busy = busy[((low ^ (low + size)) < _TOP) | (size < _BOTTOM)]
-
-    def pick(self, first: np.ndarray, both: np.ndarray, is_first: np.ndarray | None, is_second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Codes, in all lanes, which of three holds: the first has a chance of first / 4096, the first two together of both / 4096."""
-        unit = self.range >> _TWELVE
-        one, two = unit * first, unit * both
-        if self.decoding:
-            value = self.code - self.low
-            is_first = value < one
-            is_second = (value < two) & ~is_first
-        start = two
-        start[is_second] = one[is_second]
-        start[is_first] = 0
-        stop = self.range
-        stop[is_second] = unit[is_second] * both[is_second]
-        stop[is_first] = one[is_first]
-        self.low += start
-        self.range = stop - start
-        return is_first, is_second
-
-    def bytes_of(self, who: np.ndarray, bounds: list[np.ndarray], symbols: list[np.ndarray] | None) -> list[np.ndarray]:
-        """Codes two bytes in the lanes `who`, by 257 rising bounds each, lane by lane."""
-        low, size = self.low.take(who, mode="clip"), self.range.take(who, mode="clip")
-        value = self.code.take(who, mode="clip") - low if self.decoding else None
-        row = who * 257
-        out = []
-        for k, flat in enumerate(bounds):
-            whole = flat.take(row + 256, mode="clip").astype(np.float64)
-            # the quotient in floating point, made smaller where it could be too large
-            unit = (size.astype(np.float64) / whole).astype(U)
-            unit -= unit >> _SAFE
-            if self.decoding:
-                goal = (value.astype(np.float64) / unit.astype(np.float64)).astype(U)
-                goal -= goal * unit > value
-                goal += (goal + U(1)) * unit <= value
-                goal = np.minimum(goal, whole.astype(U) - U(1)).astype(np.uint16)
-                at = row.copy()
-                for shift in (128, 64, 32, 16, 8, 4, 2, 1):
-                    at += (flat.take(at + shift, mode="clip") <= goal) * shift
-            else:
-                at = row + symbols[k]
-            start = flat.take(at, mode="clip").astype(U)
-            step = unit * start
-            low += step
-            size = unit * (flat.take(at + 1, mode="clip").astype(U) - start)
-            if self.decoding:
-                value -= step
-            out.append(at - row)
-        self.low[who], self.range[who] = low, size
-        return out
-
-    def payloads(self) -> list[bytes]:
-        for _ in range(4):
-            self.words[self.at] = self.low >> _HEAD
-            self.at += 1
-            self.low = self.low << _WORD
-        return [self.words[b:e].tobytes() for b, e in zip(self.base, self.at, strict=True)]
-
-
-def _learned(table: np.ndarray, slot: np.ndarray, p: np.ndarray, goal: np.ndarray) -> None:
-    table[slot] = p + ((goal - p) >> 5)
-
-
-def _updated(entry: np.ndarray, guess: np.ndarray, sure: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """Entries (id << 2 | confidence) after the id `now`: a right guess gains confidence, a wrong one loses it or goes."""
-    right = guess == now
-    kept = entry + (right & (sure < 3)) - ~right
-    gone = np.flatnonzero(~right & (sure <= 1))
-    kept[gone] = now[gone] << 2 | 1
-    return kept
-
-
-def _run(lanes: int, steps: int, ids: np.ndarray | None, payloads: list[bytes] | None) -> tuple[np.ndarray, list[bytes]]:
-    coder = _Range(lanes, steps, payloads)
-    every = np.arange(lanes)
-    home, home_8 = every << TABLE_BITS, every * 8
-    mask = (1 << TABLE_BITS) - 1
-    one, two = np.zeros(lanes << TABLE_BITS, np.uint32), np.zeros(lanes << TABLE_BITS, np.uint32)
-    by_two, by_one = np.full(lanes * 8, 32768, np.int32), np.full(lanes * 8, 32768, np.int32)
-    second = np.full(lanes * 4, 32768, np.int32)
-    weight = np.full(lanes, 128, np.int32)
-    counts = [np.ones((lanes, 256), np.uint16) for _ in range(2)]
-    bounds = [np.zeros((lanes, 257), np.uint16) for _ in range(2)]
-    flat_counts, flat_bounds = [c.reshape(-1) for c in counts], [b.reshape(-1) for b in bounds]
-    given = None if ids is None else np.ascontiguousarray(ids.T.astype(np.uint16))
-    out = np.zeros((steps if coder.decoding else 0, lanes), np.uint16)
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    x = x_first = x_second = None
-    for t in range(steps):
-        if t % ROOM == 0:
-            coder.make_room()
-        if _refreshed(t):
-            for c, b in zip(counts, bounds, strict=True):
-                np.cumsum(c, axis=1, dtype=np.uint16, out=b[:, 1:])
-        key = last * 40503
-        slot_1 = home + (key >> 5 & mask)
-        slot_2 = home + (key + before * 30011 >> 4 & mask)
-        entry_1, entry_2 = one.take(slot_1, mode="clip"), two.take(slot_2, mode="clip")
-        sure_1, sure_2 = entry_1 & 3, entry_2 & 3
-        guess_1, guess_2 = entry_1 >> 2, entry_2 >> 2
-        agree = guess_1 == guess_2
-        known = sure_2 > 0
-        first = np.where(known, guess_2, guess_1)
-        other = known & (sure_1 > 0) & ~agree
-        agreed = home_8 + agree
-        at_2, at_1 = agreed + (sure_2 << 1), agreed + (sure_1 << 1)
-        p_2, p_1 = by_two.take(at_2, mode="clip"), by_one.take(at_1, mode="clip")
-        chance = (p_1 * 256 + (p_2 - p_1) * weight) >> 12
-        np.maximum(chance, 16, out=chance)
-        np.minimum(chance, 4064, out=chance)
-        differ = np.flatnonzero(other)
-        at_s = differ * 4 + sure_1[differ]
-        p_s = second.take(at_s, mode="clip")
-        both = chance.copy()
-        both[differ] += np.maximum((4096 - chance[differ]) * (np.minimum(p_s, 65000) >> 4) >> 12, 1)
-        if given is not None:
-            x = given[t].astype(np.uint32)
-            x_first = x == first
-            x_second = other & (x == guess_1) & ~x_first
-        hit, hit_2 = coder.pick(chance.astype(U), both.astype(U), x_first, x_second)
-        goal = hit * np.int32(65535)
-        _learned(by_two, at_2, p_2, goal)
-        _learned(by_one, at_1, p_1, goal)
-        weight += ((p_2 > p_1) == hit) * np.int32(4) - np.int32(2)
-        np.maximum(weight, 16, out=weight)
-        np.minimum(weight, 240, out=weight)
-        lost = np.flatnonzero(~hit[differ])
-        _learned(second, at_s[lost], p_s[lost], hit_2[differ[lost]] * np.int32(65535))
-        now = np.where(hit, first, guess_1)
-        rest = np.flatnonzero(~(hit | hit_2))
-        if len(rest):
-            known_bytes = None
-            if x is not None:
-                known_bytes = [(x[rest] >> 8).astype(np.int64), (x[rest] & 255).astype(np.int64)]
-            high, low = coder.bytes_of(rest, flat_bounds, known_bytes)
-            flat_counts[0][rest * 256 + high] += np.uint16(STEP)
-            flat_counts[1][rest * 256 + low] += np.uint16(STEP)
-            now[rest] = high << 8 | low
-        coder.settle()
-        one[slot_1] = _updated(entry_1, guess_1, sure_1, now)
-        two[slot_2] = _updated(entry_2, guess_2, sure_2, now)
-        if coder.decoding:
-            out[t] = now
-        before, last = last, now.astype(np.int64)
-    return out.T, [] if coder.decoding else coder.payloads()
-
-
-def encode(blocks: np.ndarray) -> list[bytes]:
-    """One payload for each row of ids (below 2 ** 16, at most MOST_IDS columns)."""
+MIX_BITS = 12
+MOST_BITS = 18  # of order 0; with those of the mix fewer than the 32 bits that the range has at least
+_WORD, _LOW_WORD, _LEAST = U(32), U((1 << 32) - 1), U(1 << 32)
+_SLOTS = 1 << 16  # of order 1, one for each id, and of order 2
+#: A guess reaches a level with so large a share of what follows; level 0 is no guess.
+_SHARES = np.array([0.02, 0.06, 0.12, 0.25, 0.45, 0.7, 0.92])
+_LEVELS = len(_SHARES) + 1
+_WORTH = 8  # times that an id must follow for its place in the model to be worth it
+_FAITH = 2 * _LEVELS * _LEVELS
+
+
+def _slot_2(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Where order 2 keeps what follows these ids (uint32)."""
+    return (last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+
+
+def _guesses(context: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """For each context its most frequent id, with the level above it: level << 16 | id."""
+    pairs = np.sort((context << np.uint32(16) | now).ravel())
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    times, pairs = np.diff(first, append=len(pairs)), pairs[first]
+    slots = pairs >> np.uint32(16)
+    head = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+    best = np.maximum.reduceat(times << 16 | (pairs & np.uint32(0xFFFF)), head)
+    total = np.add.reduceat(times, head)
+    level = np.searchsorted(_SHARES, ((best >> 16) - 1) / total, side="right") * (best >> 16 >= _WORTH)
+    out = np.zeros(_SLOTS, np.uint32)
+    out[slots[head]] = (level << 16 | (best & 0xFFFF)) * (level > 0)
+    return out
+
+
+class _Model:
+    """Predictions of three orders and how they are mixed."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray, faith: np.ndarray, bits: int, counts: np.ndarray):
+        self.one, self.two, self.faith, self.bits, self.counts = one, two, faith, bits, counts
+        self.shift = U(MIX_BITS + bits)
+        self.first, self.both = faith[0].astype(U) << U(bits), faith[1].astype(U) << U(bits)
+        self.rest = U(1 << MIX_BITS) - faith[1].astype(U)
+        ends = np.cumsum(counts.astype(np.int64))
+        self.place = (ends - counts).astype(U) << _WORD | counts.astype(U)
+        self.id_at = np.repeat(np.arange(len(counts), dtype=np.uint16), counts)
+        if not len(self.id_at):
+            self.id_at = np.zeros(1, np.uint16)
+
+    @staticmethod
+    def fitted(ids: np.ndarray) -> _Model:
+        """The model of rows of ids (uint16)."""
+        wide = ids.astype(np.uint32)
+        last, before = np.zeros_like(wide), np.zeros_like(wide)
+        last[:, 1:], before[:, 2:] = wide[:, :-1], wide[:, :-2]
+        slot = _slot_2(last, before)
+        one, two = _guesses(last, wide), _guesses(slot, wide)
+        seen, hits_1, hits_2, others = np.zeros(_FAITH, np.int64), np.zeros(_FAITH, np.int64), np.zeros(_FAITH, np.int64), np.zeros(1 << 16, np.int64)
+        last, slot, wide = last.ravel(), slot.ravel(), wide.ravel()
+        for a in range(0, len(wide), CHUNK):
+            now = wide[a : a + CHUNK]
+            sure, other, kind = _ranked(one.take(last[a : a + CHUNK]), two.take(slot[a : a + CHUNK]))
+            hit = ((sure & 0xFFFF) == now) & (sure > 0)
+            hit_2 = ((other & 0xFFFF) == now) & (other > 0) & ~hit
+            seen += np.bincount(kind, minlength=_FAITH)
+            hits_1 += np.bincount(kind[hit], minlength=_FAITH)
+            hits_2 += np.bincount(kind[hit_2], minlength=_FAITH)
+            others += np.bincount(now[~(hit | hit_2)], minlength=1 << 16)
+        whole = 1 << MIX_BITS
+        share = np.maximum(seen, 1)
+        first = np.clip((hits_1 * whole + share // 2) // share, hits_1 > 0, whole - 2)
+        both = first + np.minimum(np.maximum((hits_2 * whole + share // 2) // share, hits_2 > 0), whole - 1 - first)
+        kinds, total = int((others > 0).sum()), max(1, int(others.sum()))
+        bits = min(MOST_BITS, max(1, kinds).bit_length() + 4)
+        counts = np.where(others > 0, 1 + others * ((1 << bits) - kinds) // total, 0)
+        if kinds:
+            counts[counts.argmax()] += (1 << bits) - counts.sum()
+        return _Model(one, two, np.stack([first, both]).astype("<u2"), bits, counts.astype("<u4"))
+
+    def packed(self) -> bytes:
+        parts = [self.one & 0xFFFF, self.one >> 16, self.two & 0xFFFF, self.two >> 16, self.faith, self.counts & 0xFFFF, self.counts >> 16]
+        kinds = ["<u2", "u1", "<u2", "u1", "<u2", "<u2", "u1"]
+        return bytes([self.bits]) + zlib.compress(b"".join(p.astype(k).tobytes() for p, k in zip(parts, kinds, strict=True)))
+
+    @staticmethod
+    def unpacked(raw: bytes) -> _Model:
+        data, at, got = zlib.decompress(raw[1:]), 0, []
+        for kind, n in (("<u2", _SLOTS), ("u1", _SLOTS), ("<u2", _SLOTS), ("u1", _SLOTS), ("<u2", 2 * _FAITH), ("<u2", 1 << 16), ("u1", 1 << 16)):
+            got.append(np.frombuffer(data, kind, n, at))
+            at += got[-1].nbytes
+        one, two, counts = (got[i].astype(np.uint32) | got[i + 1].astype(np.uint32) << np.uint32(16) for i in (0, 2, 5))
+        return _Model(one, two, got[4].reshape(2, _FAITH), raw[0], counts)
+
+    def spans(self, last: np.ndarray, before: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids begin in the range, of 1 << shift, and how much of it they have."""
+        sure, other, kind = _ranked(self.one.take(last), self.two.take(_slot_2(last, before)))
+        hit = ((sure & 0xFFFF) == now) & (sure > 0)
+        second = ((other & 0xFFFF) == now) & (other > 0) & ~hit
+        first, both, rest, place = self.first.take(kind), self.both.take(kind), self.rest.take(kind), self.place.take(now)
+        begin = np.where(hit, U(0), np.where(second, first, both + rest * (place >> _WORD)))
+        return begin, np.where(hit, first, np.where(second, both - first, rest * (place & _LOW_WORD)))
+
+
+def _ranked(entry_1: np.ndarray, entry_2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The surer entry, the other one, and the kind of mix for their levels."""
+    sure, other = np.maximum(entry_1, entry_2), np.minimum(entry_1, entry_2)
+    kind = ((sure >> 16) * np.uint32(_LEVELS) + (other >> 16)) << np.uint32(1) | (((sure ^ other) & np.uint32(0xFFFF)) == 0)
+    return sure, other, kind
+
+
+def _tightened(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sizes under 1 << 32, cut where the upper half of low + size would differ from that of low."""
+    return np.where((low ^ (low + size - U(1))) > _LOW_WORD, _LEAST - (low & _LOW_WORD), size)
+
+
+def encode(blocks: np.ndarray) -> bytes:
+    """The payload of rows of ids (below 2 ** 16, at most MOST_IDS columns)."""
     if blocks.size and (blocks.min() < 0 or blocks.max() >= 1 << 16 or blocks.shape[1] > MOST_IDS):
         raise ValueError("ids must be under 65536, blocks at most 4096 ids long")
-    return _run(*blocks.shape, blocks, None)[1]
-
-
-def decode(payloads: list[bytes], steps: int) -> np.ndarray:
+    lanes, steps = blocks.shape
+    ids = blocks.astype(np.uint16, copy=False)
+    model = _Model.fitted(ids)
+    head = model.packed()
+    width = steps + 2  # an id moves one word at most
+    words = np.zeros(lanes * width, "<u4")
+    base = np.arange(lanes, dtype=np.int64) * width
+    at = base.copy()
+    low, size = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
+    tail = np.zeros((2, lanes), np.uint32)
+    many = max(1, CHUNK // lanes)
+    for t in range(0, steps, many):
+        now = np.concatenate([tail, ids[:, t : t + many].T.astype(np.uint32)])
+        tail = now[-2:]
+        n = len(now) - 2
+        begin, share = (x.reshape(n, lanes) for x in model.spans(now[1:-1].ravel(), now[:-2].ravel(), now[2:].ravel()))
+        for k in range(n):
+            size >>= model.shift
+            low += size * begin[k]
+            size *= share[k]
+            busy = np.flatnonzero(size < _LEAST)
+            if len(busy):
+                some = low.take(busy, mode="clip")
+                place = at.take(busy, mode="clip")
+                words[place] = some >> _WORD
+                at[busy] = place + 1
+                size[busy] = _tightened(some, size.take(busy, mode="clip")) << _WORD
+                low[busy] = some << _WORD
+    for shift in (_WORD, U(0)):
+        words[at] = low >> shift & _LOW_WORD
+        at += 1
+    n_words = at - base
+    body = words.reshape(lanes, width)[np.arange(width) < n_words[:, None]].tobytes()
+    return np.array([lanes, len(head)], "<u4").tobytes() + head + n_words.astype("<u2").tobytes() + body
+
+
+def decode(payload: bytes, steps: int) -> np.ndarray:
     """The rows of ids that `encode` was given."""
-    return _run(len(payloads), steps, None, payloads)[0]
+    lanes, size_of_head = np.frombuffer(payload, "<u4", 2).tolist()
+    model = _Model.unpacked(payload[8 : 8 + size_of_head])
+    n_words = np.frombuffer(payload, "<u2", lanes, 8 + size_of_head).astype(np.int64)
+    words = np.frombuffer(payload[8 + size_of_head + 2 * lanes :], "<u4").astype(U)
+    at = np.cumsum(n_words) - n_words
+    value = words.take(at, mode="clip") << _WORD | words.take(at + 1, mode="clip")
+    at += 2
+    low, size = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
+    out = np.zeros((steps, lanes), np.uint16)
+    last, before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    for t in range(steps):
+        sure, other, kind = _ranked(model.one.take(last, mode="clip"), model.two.take(_slot_2(last, before), mode="clip"))
+        size >>= model.shift
+        one, two = size * model.first.take(kind, mode="clip"), size * model.both.take(kind, mode="clip")
+        hit = value < one
+        now = np.where(hit, sure, other) & np.uint32(0xFFFF)
+        begin = np.where(hit, U(0), one)
+        share = np.where(hit, one, two - one)
+        rest = np.flatnonzero(value >= two)
+        if len(rest):
+            unit = size.take(rest, mode="clip") * model.rest.take(kind.take(rest, mode="clip"), mode="clip")
+            start = two.take(rest, mode="clip")
+            found = model.id_at.take((value.take(rest, mode="clip") - start) // unit, mode="clip")
+            place = model.place.take(found, mode="clip")
+            begin[rest] = start + unit * (place >> _WORD)
+            share[rest] = unit * (place & _LOW_WORD)
+            now[rest] = found
+        low += begin
+        value -= begin
+        size = share
+        busy = np.flatnonzero(size < _LEAST)
+        if len(busy):
+            some = low.take(busy, mode="clip")
+            place = at.take(busy, mode="clip")
+            value[busy] = value.take(busy, mode="clip") << _WORD | words.take(place, mode="clip")
+            at[busy] = place + 1
+            size[busy] = _tightened(some, size.take(busy, mode="clip")) << _WORD
+            low[busy] = some << _WORD
+        out[t] = now
+        before, last = last, now
+    return out.T

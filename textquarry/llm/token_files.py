@@ -6,9 +6,9 @@ them, so the ids of a text are those of its words' parts, put together: a worker
 tokenizes each distinct part once and keeps a bounded number of them, and array
 operations put the ids in place. Ids of all documents, in ascending doc_id order and each
 ended by END_ID, are cut into blocks of BLOCK ids per file; a block is coded by
-the adaptive range coder of codec.py on its own and carries its checksum, the
-documents that end in it and the number of documents before it in its file. The
-container is a Spark table, so files are written and read through the cluster's store.
+the range coder of codec.py, as rows of ROW ids, with a model of its own, and carries
+its checksum, the documents that end in it and the number of documents before it in
+its file. The container is a Spark table, so files are written and read through the cluster's store.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes
 first; repeated doc_ids are separate documents in the order of their ids; an
@@ -33,8 +33,9 @@ from textquarry.llm import codec
 from textquarry.llm.common import scratch_path, staged
 
 END_ID = 2
-BLOCK = codec.MOST_IDS
-LANES = 4096
+#: Rows of a block, and ids of a row.
+LANES, ROW = 4096, 1024
+BLOCK = LANES * ROW
 FILE_IDS = 16_000_000
 #: Text that is tokenized at a time, in bytes, and one document at least.
 PIECE_BYTES = 8 << 20
@@ -195,6 +196,17 @@ def _checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _row_ids(n: int) -> int:
+    """Ids of a row in a block of n ids: fewer in a small block, so that it has many rows too."""
+    return min(ROW, max(64, -(-n // LANES)))
+
+
+def _rows(ids: np.ndarray) -> np.ndarray:
+    """A block's ids as rows, the last one filled up with zeros."""
+    width = _row_ids(len(ids))
+    return np.concatenate([ids, np.zeros(-len(ids) % width, np.uint16)]).reshape(-1, width)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -209,18 +221,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.frombuffer(b"".join(held), "<u2")
         n = -(-size // BLOCK) if last else size // BLOCK
         took = min(size, n * BLOCK)
-        rows = np.zeros(n * BLOCK, np.uint16)
-        rows[:took] = ids[:took]
-        steps = min(BLOCK, took)
-        payloads = codec.encode(rows.reshape(n, BLOCK)[:, :steps])
-        lengths = [min(BLOCK, took - b * BLOCK) for b in range(n)]
+        cuts = [ids[b * BLOCK : min(took, (b + 1) * BLOCK)] for b in range(n)]
         stops = np.searchsorted(np.array(ends, np.int64), (np.arange(n) + 1) * BLOCK, side="right")
         starts = np.concatenate([[0], stops[:-1]])
         columns = [
-            pa.array([shard] * n, pa.int32()), pa.array(range(written, written + n), pa.int64()), pa.array(lengths, pa.int32()),
-            pa.array([_checksum(rows[b * BLOCK : b * BLOCK + lengths[b]]) for b in range(n)], pa.int64()), pa.array([first_doc + int(s) for s in starts], pa.int64()),
+            pa.array([shard] * n, pa.int32()), pa.array(range(written, written + n), pa.int64()), pa.array([len(c) for c in cuts], pa.int32()),
+            pa.array([_checksum(c) for c in cuts], pa.int64()), pa.array([first_doc + int(s) for s in starts], pa.int64()),
             pa.array([docs[a:b] for a, b in zip(starts, stops, strict=True)], pa.list_(pa.int64())),
-            pa.array([[e - k * BLOCK for e in ends[a:b]] for k, (a, b) in enumerate(zip(starts, stops, strict=True))], pa.list_(pa.int32())), pa.array(payloads, pa.binary()),
+            pa.array([[e - k * BLOCK for e in ends[a:b]] for k, (a, b) in enumerate(zip(starts, stops, strict=True))], pa.list_(pa.int32())),
+            pa.array([codec.encode(_rows(c)) for c in cuts], pa.binary()),
         ]
         done = int(stops[-1])
         held, docs, ends = [ids[took:].tobytes()], docs[done:], [e - took for e in ends[done:]]
@@ -234,7 +243,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(raw) // 2
             docs.append(doc)
             ends.append(size)
-            if size >= LANES * BLOCK:
+            if size >= BLOCK:
                 yield flush(False)
     if size:
         yield flush(True)
@@ -247,24 +256,15 @@ def write(docs: DataFrame, tokenizer: str, out: str, file_ids: int = FILE_IDS) -
     files = max(1, -(-total // file_ids))
     # one file per range of doc_id; ids of one document stay in one file
     placed = tokens.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    placed.select("doc_id", "ids").mapInArrow(_blocks, FORMAT).write.parquet(out)
+    placed.select("doc_id", "ids").mapInArrow(_blocks, FORMAT).write.option("parquet.page.size.row.check.min", 1).parquet(out)  # rows are of some MB: look at the room after each
 
 
 def decoded(batch: pa.RecordBatch) -> list[np.ndarray]:
     """The ids of a batch's blocks, checked."""
-    sizes = np.array(batch.column("n_ids").to_pylist(), np.int64)
-    payloads, sums = batch.column("payload").to_pylist(), batch.column("crc32").to_pylist()
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(sizes)
-    # a file's last block was coded beside full ones and as long as they, or alone
-    alone = (sizes < BLOCK) & (np.array(batch.column("block").to_pylist(), np.int64) == 0)
-    full = np.flatnonzero(~alone)
-    for who in [full[i : i + LANES] for i in range(0, len(full), LANES)]:
-        for i, row in zip(who, codec.decode([payloads[k] for k in who], BLOCK), strict=True):
-            out[i] = row[: sizes[i]]
-    for i in np.flatnonzero(alone):
-        out[i] = codec.decode([payloads[i]], int(sizes[i]))[0]
-    for i, ids in enumerate(out):
-        if _checksum(ids) != sums[i]:
+    out = []
+    for i, (n, payload, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_ids", "payload", "crc32")), strict=True)):
+        out.append(codec.decode(payload, _row_ids(n)).ravel()[:n])
+        if _checksum(out[-1]) != total:
             raise ValueError(f"block {batch.column('block')[i]} of shard {batch.column('shard')[i]} is damaged")
     return out
 
