@@ -7,7 +7,7 @@ tokenizes each distinct part once and keeps a bounded number of them, and array
 operations put the ids in place. Ids of all documents, in ascending doc_id order and each
 ended by END_ID, are cut into blocks of BLOCK ids per file; a block is coded by
 the range coder of codec.py, as rows of ROW ids, with a model of its own, and carries
-its checksum, the documents that end in it and the number of documents before it in
+the checksum of its ids as 16-bit numbers, the documents that end in it and the number of documents before it in
 its file. The container is a Spark table, so files are written and read through the cluster's store.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes
@@ -41,6 +41,11 @@ FILE_IDS = 16_000_000
 PIECE_BYTES = 8 << 20
 #: Parts whose ids a worker keeps; beyond, it begins anew.
 KNOWN_PARTS = 1_000_000
+#: Places for their numbers, as a power of two, in each of two tables; bytes of parts that are hashed at a time.
+TABLE_BITS, HASHED_BYTES = 21, 1 << 18
+_BASE = 0x5851F42D4C957F2D
+#: Powers of an odd number and of its inverse.
+_POWERS = np.multiply.accumulate(np.stack([np.concatenate([np.ones(1, np.uint64), np.full(HASHED_BYTES, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]), axis=1)
 #: Parts that go to the library in one text.
 ROW_PARTS = 2000
 #: ASCII marks but the apostrophe, which begins contractions; \\x00 and other controls are no marks here.
@@ -71,15 +76,36 @@ class Words:
         self._forget()
 
     def _forget(self) -> None:
-        """What is known of parts: their names, where their ids begin in the store, and how many they are."""
+        """What is known of parts: their names, where their ids begin in the store, and how many they are; by hash, their numbers."""
         self.names, self.begin, self.sizes, self.store = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u2")
+        self.table = np.full((2, 1 << TABLE_BITS), -1, np.int32)
+
+    def known(self, parts: pa.Array, slots: np.ndarray) -> np.ndarray:
+        """The numbers of parts, -1 for those that are in neither of their places in the table."""
+        found = np.full(len(parts), -1, np.int64)
+        for table, slot in zip(self.table, slots, strict=True):
+            here = table.take(slot)
+            some = np.flatnonzero((here >= 0) & (found < 0))
+            if len(some):
+                same = pc.equal(self.names.take(pa.array(here[some])), parts.take(pa.array(some))).to_numpy(zero_copy_only=False)
+                found[some[same]] = here[some[same]]
+        return found
+
+    def _enter(self, numbers: np.ndarray, slots: np.ndarray) -> None:
+        """Puts parts where the table has room for them; without room, one gives way and is looked up anew when it comes again."""
+        free = np.flatnonzero(self.table[0].take(slots[0]) < 0)
+        self.table[0][slots[0][free]] = numbers[free]
+        out = np.flatnonzero(self.table[0].take(slots[0]) != numbers)
+        self.table[1][slots[1][out]] = numbers[out]
 
     def places(self, parts: pa.Array) -> np.ndarray:
         """The numbers of distinct parts among those known; the ids of new ones are looked up."""
         if len(self.names) > KNOWN_PARTS:
             self._forget()
-        found = pc.index_in(parts, value_set=self.names)
-        fresh = parts.filter(pc.is_null(found))
+        slots = _slots(parts)
+        out = self.known(parts, slots)
+        new = np.flatnonzero(out < 0)
+        fresh = parts.take(pa.array(new))
         easy = pc.and_(pc.match_substring_regex(fresh, PLAIN), pc.equal(fresh, pc.utf8_lower(fresh)))
         plain, other = fresh.filter(easy), fresh.filter(pc.invert(easy))
         known, held = len(self.names), len(self.store)
@@ -89,11 +115,11 @@ class Words:
         self.store = np.concatenate([self.store, ids_a, ids_b])
         self.begin = np.concatenate([self.begin, held + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        out = found.fill_null(0).to_numpy().astype(np.int64)
         flags = easy.to_numpy(zero_copy_only=False)
-        order = np.empty(len(fresh), np.int64)
-        order[flags], order[~flags] = known + np.arange(len(plain)), known + len(plain) + np.arange(len(other))
-        out[pc.is_null(found).to_numpy(zero_copy_only=False)] = order
+        numbers = np.empty(len(fresh), np.int64)
+        numbers[flags], numbers[~flags] = known + np.arange(len(plain)), known + len(plain) + np.arange(len(other))
+        self._enter(numbers, slots[:, new])
+        out[new] = numbers
         return out
 
     def plain_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +183,30 @@ def _sliced(values: pa.Array, begin: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[_ranges(begin.astype(np.int64), size.astype(np.int64))].tobytes())])
 
 
+def _slots(parts: pa.Array) -> np.ndarray:
+    """Two places in a table for each string, from a polynomial of its bytes."""
+    bounds = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+    data = np.frombuffer(parts.buffers()[2] or b"", np.uint8)
+    out = np.zeros(len(parts), np.uint64)
+    a = 0
+    while a < len(parts):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + HASHED_BYTES, side="right")) - 1)
+        body = data[bounds[a] : bounds[b]]
+        if len(body) > HASHED_BYTES:  # one long string
+            out[a] = zlib.crc32(body) * 0x9E3779B97F4A7C15 % (1 << 64)
+        else:
+            sums = np.zeros(len(body) + 1, np.uint64)
+            np.cumsum((body + np.uint64(1)) * _POWERS[0, : len(body)], out=sums[1:])
+            at = bounds[a : b + 1] - bounds[a]
+            out[a:b] = (sums[at[1:]] - sums[at[:-1]]) * _POWERS[1].take(at[:-1], mode="clip")
+        a = b
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    mask = np.uint64((1 << TABLE_BITS) - 1)
+    return np.stack([out & mask, out >> np.uint64(TABLE_BITS) & mask]).astype(np.int64)
+
+
 _words: dict[str, Words] = {}
 
 
@@ -226,7 +276,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate([[0], stops[:-1]])
         columns = [
             pa.array([shard] * n, pa.int32()), pa.array(range(written, written + n), pa.int64()), pa.array([len(c) for c in cuts], pa.int32()),
-            pa.array([_checksum(c) for c in cuts], pa.int64()), pa.array([first_doc + int(s) for s in starts], pa.int64()),
+            pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array([first_doc + int(s) for s in starts], pa.int64()),
             pa.array([docs[a:b] for a, b in zip(starts, stops, strict=True)], pa.list_(pa.int64())),
             pa.array([[e - k * BLOCK for e in ends[a:b]] for k, (a, b) in enumerate(zip(starts, stops, strict=True))], pa.list_(pa.int32())),
             pa.array([codec.encode(_rows(c)) for c in cuts], pa.binary()),
@@ -264,7 +314,7 @@ def decoded(batch: pa.RecordBatch) -> list[np.ndarray]:
     out = []
     for i, (n, payload, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_ids", "payload", "crc32")), strict=True)):
         out.append(codec.decode(payload, _row_ids(n)).ravel()[:n])
-        if _checksum(out[-1]) != total:
+        if zlib.crc32(out[-1]) != total:
             raise ValueError(f"block {batch.column('block')[i]} of shard {batch.column('shard')[i]} is damaged")
     return out
 
