@@ -46,7 +46,7 @@ TABLE_BITS, HASHED_BYTES = 22, 1 << 18
 _BASE = 0x5851F42D4C957F2D
 #: Powers of an odd number and of its inverse.
 _POWERS = np.multiply.accumulate(np.stack([np.concatenate([np.ones(1, np.uint64), np.full(HASHED_BYTES, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]), axis=1)
-#: Parts that go to the library in one text; with 2000 it took 1.3 to 1.8 times as long.
+#: Parts that go to the library in one text; with 2000 it took 1.3 to 1.9 times as long.
 ROW_PARTS = 100
 #: ASCII marks but the apostrophe, which begins contractions; \\x00 and other controls are no marks here.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
